@@ -9,10 +9,12 @@ repeated results; an empty table gives an empty ledger; other columns than the i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,12 +135,10 @@ def ablations(ledger_df: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all their columns, that the policy keeps. One map pass: the row travels through the ledger.
+    """The documents, all their columns, that the policy keeps.
 
-    The text's ledger is evaluated beside the row by a scalar Arrow function, so no id join is needed.
+    The measurements are taken beside the row by a scalar Arrow function: no shuffle and no join by id.
     """
-    import pyarrow as pa
-
     names = [f.split()[0] for f in MEASURES.split(", ")]
 
     @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ': ') for f in MEASURES.split(', '))}>")
@@ -148,8 +148,6 @@ def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, id_col: str = "doc_id",
 
     m = "__measures"
     bad = " OR ".join(f"({r.fails})" for k, r in enumerate(RULES) if POLICIES[policy].mask >> k & 1)
-    for n in sorted(names, key=len, reverse=True):
-        import re
-
+    for n in names:
         bad = re.sub(rf"(?<![.\w]){n}\b", f"{m}.{n}", bad)
     return docs.withColumn(m, measured(text_or_empty(text_col))).where(~F.expr(bad)).drop(m)
