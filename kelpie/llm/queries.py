@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontaminate, packing, quality, simhash, substrings, warc
+from kelpie.llm import chat, decontaminate, language_model, packing, quality, simhash, substrings, warc
 from kelpie.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -39,6 +39,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(rows.unionByName(extra)))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(table(spark, sf_dir, "documents"))
     return found.select(
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_substrings": op5_substrings,
     "op6_chat": op6_chat,
+    "op7_language_model": op7_language_model,
     "op8_quality": op8_quality,
     "op10_warc": op10_warc,
 }
