@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontaminate, language_model, packing, quality, simhash, substrings, warc
+from kelpie.llm import chat, decontaminate, language_model, packing, quality, simhash, substrings, toxicity, warc
 from kelpie.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -50,6 +50,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), {"low_quality": "1 - quality", "toxic": "toxic"})
+    return toxicity.classify(docs, model)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_language_model": op7_language_model,
     "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 
