@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import chat, decontaminate, language_model, packing, quality, simhash, substrings, toxicity, warc
+from kelpie.llm import chat, decontaminate, html_text, language_model, packing, quality, simhash, substrings, toxicity, warc
 from kelpie.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_packing": op2_packing,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
