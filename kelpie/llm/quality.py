@@ -37,7 +37,7 @@ RULES = (
     Rule("too_few_words", "n_words < 50"),
     Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     Rule("many_symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "100 * n_dup_lines > 50 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 14 * n_words"),
     Rule("too_many_words", "n_words > 1000000"),
