@@ -6,9 +6,9 @@ none has room the fullest open window is emitted and a new one opened. The windo
 partition are merged: groups of them are packed again the same way, level by level, until one group is left, so no
 task sees more than fan_in x open_windows windows.
 
-Tokens come from a public tokenizer file. A tokenizer splits between a non-space and a space whatever follows, so
-a text is cut there and the ids of each cut are kept in a bounded cache; texts of any length need no more memory
-than their ids.
+Tokens come from a public tokenizer file. Byte-level BPE starts a token at a space after a non-space whatever
+follows, so a text is cut there and the ids of each cut are kept in a bounded cache; texts of any length need no
+more memory than their ids.
 
 Defined results: a null or empty text is one token, the separator; repeated rows are packed as often as they
 occur; an empty table gives no pieces; only the id and the text are read, so other columns cannot clash.
@@ -16,11 +16,15 @@ occur; an empty table gives no pieces; only the id and the text are read, so oth
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,36 +37,77 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 TASK_SHIFT, LEVEL_SHIFT = 32, 56
 
 
+#: Fixed value: how byte-level BPE tokenizers of this kind split a text before merging.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable Latin-1 for themselves, then from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def byte_ranks(file: str) -> dict[bytes, int] | None:
+    """Token bytes -> id if the file is plain byte-level BPE whose ids follow its merges, else None."""
+    spec = json.loads(Path(file).read_text())
+    model, pre, own = spec["model"], spec.get("pre_tokenizer") or {}, byte_letters()
+    plain = model.get("type") == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout"):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ids = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if ids != sorted(ids):
+        return None
+    return {bytes(own[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+
+
 class Encoder:
-    """Ids of a text as little-endian uint32 bytes, equal to encode(text, add_special_tokens=False).ids."""
+    """Ids of a text as little-endian uint32 bytes, equal to the tokenizer's encode(text, add_special_tokens=False).
 
-    def __init__(self, file: str, cache: int = 400_000) -> None:
-        from tokenizers import Tokenizer
+    Plain byte-level BPE files go through the faster of the two libraries that read such vocabularies.
+    """
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.limit = cache
+    def __init__(self, file: str, cache: int = 600_000) -> None:
+        ranks = byte_ranks(file)
+        if ranks is not None:
+            import tiktoken
 
-    def cuts(self, text: str) -> list[str]:
-        if re.search(r"\s ", text):
-            return re.split(r"(?<=\S)(?= )", text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            self.one = tiktoken.Encoding("packing", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(file)
+            tokenizer.encode_special_tokens = True
+            self.one = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.cuttable = ranks is not None
+        self.cache = Cuts(self.one)
+        self.limit = cache
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        parts, cache = self.cuts(text), self.cache
-        if missing := list({p for p in parts if p not in cache}):
-            if len(cache) + len(missing) > self.limit:
-                cache.clear()
-                missing = list(set(parts))
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    cache[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, parts))
+        if not self.cuttable:
+            return array("I", self.one(text)).tobytes()
+        first, *rest = SURE.split(text) if UNSURE.search(text) else text.split(" ")
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        return array("I", self.one(first)).tobytes() + b"".join(map(self.cache.__getitem__, rest))
+
+
+class Cuts(dict):
+    """Ids of a cut, which stands after a space."""
+
+    def __init__(self, one) -> None:
+        self.one = one
+
+    def __missing__(self, cut_: str) -> bytes:
+        got = self[cut_] = array("I", self.one(" " + cut_)).tobytes()
+        return got
+
+
+#: A space after a non-space is where a token begins, whatever follows. UNSURE finds a space after white space.
+UNSURE, SURE = re.compile(r"\s |^ "), re.compile(r"(?<=\S) ")
 
 
 class Packer:
@@ -193,7 +238,6 @@ def sequences(pieces: DataFrame, docs: DataFrame, tokenizer: str, capacity: int
 
     For unique document ids. Texts are tokenized again where they lie and only each piece's ids are moved.
     """
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def ids_of(text: pd.Series) -> pd.Series:
