@@ -143,10 +143,12 @@ def crawl(spark: SparkSession, pages: DataFrame, entry: str, config: CrawlConfig
         first = open_.groupBy("canon").agg(F.min(F.struct("place", "ordinal", "to", "n")).alias("m")).select("canon", "m.*")
         ranked = first.withColumn("single", single)
         if left is not None:
-            if config.count_discovered:
-                left -= found.where("n > 1").count() - ranked.where("not single").count()
+            # links reserve budget as they are found; what the filters then drop is given back unless count_discovered
+            reserved = min(found.where("n > 1").count(), max(0, left)) if config.count_discovered else 0
             # what the budget lets through is at most max_walks rows
-            many = ranked.where("not single").orderBy("place", "ordinal").limit(max(0, left))
+            many = cut(ranked.where("not single").orderBy("place", "ordinal").limit(max(0, left)))
+            if config.count_discovered:
+                used += max(0, reserved - many.count())
             ranked = ranked.where("single").unionByName(many)
         depth += 1
         frontier = cut(ranked.select(F.col("to").alias("url"), F.lit(depth).alias("depth"), (F.col("place") * 4096 + F.col("ordinal") + 1).alias("place"), "canon"))

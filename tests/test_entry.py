@@ -34,5 +34,5 @@ def test_oracle(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() >= 0
+    assert entry.entry(spark).count() == 1
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -44,6 +44,12 @@ def test_budget(spark):
     assert walk(spark, site, max_walks=3)[0] == {"": 0, "a": 1, "b": 1}
 
 
+def test_discovered_links_use_up_budget(spark):
+    site = {S: ["a", "https://other.com/1", "https://other.com/2"], S + "a": ["b", "c"], S + "b": [], S + "c": []}
+    assert walk(spark, site, max_walks=4)[0] == {"": 0, "a": 1, "b": 2, "c": 2}
+    assert walk(spark, site, max_walks=4, count_discovered=True)[0] == {"": 0, "a": 1}
+
+
 def test_shared_cache(spark):
     site = {S: ["a", "b"], S + "a": [], S + "b": []}
     _, first = walk(spark, site)
