@@ -49,7 +49,7 @@ def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
         begin, n = at, 0
         for w in PIECE.finditer(text, at, end):
             n += 1
-            if n >= 4 and zlib.crc32(w[0].strip().lower().encode()) % 12 == 0 and w.end() < end:
+            if n >= 3 and zlib.crc32(w[0].strip().lower().encode()) % 6 == 0 and w.end() < end:
                 found.append((begin, w.end()))
                 begin, n = w.end(), 0
         if begin < end:
