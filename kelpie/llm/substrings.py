@@ -30,7 +30,7 @@ from kelpie.llm.common import map_rows, text_or_empty
 #: Where a sentence ends, with the white space after it.
 BOUNDARY = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\n+")
 PIECE = re.compile(r"\S+\s*")
-MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 3, 20, 24
+MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 3, 20, 16
 #: Stands for a null id; it sorts first.
 NO_ID = -(1 << 63)
 
