@@ -42,6 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """A computed (cut) table, to be broadcast if it has at most that many rows; beyond, Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def map_rows(df: DataFrame, schema: str, rows: Callable[[dict], Iterator[tuple]], max_rows: int = 4096) -> DataFrame:
     """A map over Arrow batches: rows() gets a batch's columns as lists and yields output tuples.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import cut, map_rows, text_or_empty
+from kelpie.llm.common import cut, map_rows, sized, text_or_empty
 
 SEED = 42
 STEP = 1 << 15
@@ -126,7 +126,7 @@ def links(nodes: DataFrame, radius: int = 3, block: int = 512, fps: tuple[str, .
     if limit is not None:
         bits = F.transform(F.arrays_zip(x["signature"].alias("a"), y["signature"].alias("b")), lambda w: F.bit_count(w["a"].bitwiseXOR(w["b"])))
         close &= F.aggregate(bits, F.lit(0), lambda acc, b: acc + b) <= limit
-    # most buckets hold two: built-in functions decide these, and of the others only those whose members differ go on
+    # most buckets hold two: built-in functions decide these
     two = groups.where(F.size("m") == 2).where(close)
     few = two.select(F.least(x["node"], y["node"]).alias("u"), F.greatest(x["node"], y["node"]).alias("v"))
 
@@ -265,5 +265,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     Of rows that repeat that id all stay. Rows without an id stay.
     """
     found = similar(docs, shingle, similarity, radius, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    # ids only: a million are some megabytes
+    return docs.join(sized(gone, 1_000_000), docs[id_col] == F.col("__gone"), "left_anti")
