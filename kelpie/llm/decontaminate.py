@@ -11,7 +11,8 @@ Scale: documents are never moved for the search. Benchmark hashes are broadcast
 diagonal) before their shuffle, and only documents with hits are read again for the comparison.
 
 Defined results: null and empty texts have no tokens and no overlaps; items of fewer than min_tokens tokens are
-no evidence; items shorter than a mask are searched whole; rows that repeat both id and text are one document in
+no evidence; items shorter than the longest mask are also searched whole, with each one token left out (items of 10
+to 12 tokens with two substitutions are found where those leave a seed intact); rows that repeat both id and text are one document in
 the result; equal items (after lower-casing) are searched once and each gets its rows.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import cut, text_or_empty
 
 MASKS = ("1110000111", "110011011", "1101011001", "11110101")
-SHORTEST = min(map(len, MASKS))
+LONGEST = max(map(len, MASKS))
 
 
 def tokens(text: Column) -> Column:
@@ -34,12 +35,18 @@ def seed(words: str, at: str, offsets: list[int], tag: int) -> Column:
     return F.xxhash64(F.lit(tag), *[F.expr(f"get({words}, {at} + {o})") for o in offsets])
 
 
-def seeds(rows: DataFrame, keep: list[str], short: list[int]) -> DataFrame:
-    """(keep, at, h): every window of the column words under every mask, and whole short windows."""
+def seeds(rows: DataFrame, keep: list[str], short: list[int], whole: bool = False) -> DataFrame:
+    """(keep, at, h): every window of the column words under every mask.
+
+    For each length in short also the windows of that length with one token left out; of whole rows, only those
+    that have just that length.
+    """
     at = rows.select(*keep, "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
-    shapes = [(len(m), [i for i, c in enumerate(m) if c == "1"], k) for k, m in enumerate(MASKS)]
-    shapes += [(s, list(range(s)), 100 + s) for s in short]
-    hashes = [F.when(F.col("at") + span <= F.col("n"), seed("words", "at", offsets, tag)) for span, offsets, tag in shapes]
+    fits = lambda span: F.col("at") + span <= F.col("n")
+    hashes = [F.when(fits(len(m)), seed("words", "at", [i for i, c in enumerate(m) if c == "1"], k)) for k, m in enumerate(MASKS)]
+    for s in short:
+        own = fits(s) & (F.col("n") == s) if whole else fits(s)
+        hashes += [F.when(own, seed("words", "at", [i for i in range(s) if i != gone], 100 * s + gone)) for gone in range(s)]
     return at.select(*keep, "at", F.explode(F.array(*hashes)).alias("h")).where("h is not null")
 
 
@@ -51,23 +58,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: flo
     """
     items = benchmark.select(F.col("item_id"), tokens(text_or_empty("text")).alias("words")).where(F.size("words") >= min_tokens)
     classes = cut(items.groupBy("words").agg(F.min("item_id").alias("class_id"), F.collect_set("item_id").alias("item_ids")))
-    # lengths below a mask's span: at most SHORTEST - min_tokens numbers
-    short = sorted(r[0] for r in classes.where(F.size("words") < 13).select(F.size("words")).distinct().collect())
+    # at most LONGEST - min_tokens numbers
+    short = sorted(r[0] for r in classes.where(F.size("words") < LONGEST).select(F.size("words")).distinct().collect())
     train = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = train.select("doc_id", F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("words")).where(F.size("words") >= min_tokens)
-    asked = cut(seeds(classes.select("class_id", "words").where(F.size("words") >= min_tokens), ["class_id"], short).withColumnRenamed("at", "item_at"))
+    asked = cut(seeds(classes.select("class_id", "words").where(F.size("words") >= min_tokens), ["class_id"], short, whole=True).withColumnRenamed("at", "item_at"))
     if asked.count() <= broadcast_rows:
         asked = F.broadcast(asked)
     hits = seeds(keyed, ["doc_id", "th"], short).join(asked, "h").groupBy("doc_id", "th", "class_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits"))
-    return verify(hits, keyed, classes, window, share)
+    return verify(hits, train.withColumn("th", F.xxhash64("text")), classes, window, share)
 
 
-def verify(hits: DataFrame, keyed: DataFrame, classes: DataFrame, window: int, share: float) -> DataFrame:
+def verify(hits: DataFrame, texts: DataFrame, classes: DataFrame, window: int, share: float) -> DataFrame:
     """The overlaps among (doc_id, th, class_id, diagonal)."""
     item = classes.select("class_id", F.col("words").alias("item"))
     # the items asked for are few beside the hits; Spark picks the join by their size
     laid = hits.join(item, "class_id").withColumn("n_item", F.size("item"))
-    both = keyed.join(laid, (keyed["doc_id"].eqNullSafe(laid["doc_id"])) & (keyed["th"] == laid["th"])).select(laid["*"], keyed["words"])
+    met = texts.join(laid, texts["doc_id"].eqNullSafe(laid["doc_id"]) & (texts["th"] == laid["th"]))
+    both = met.select(laid["*"], tokens(texts["text"]).alias("words"))
     doc_start, item_start = F.greatest(F.col("diagonal"), F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     placed = both.withColumn("doc_start", doc_start).withColumn("item_start", item_start)
     placed = placed.withColumn("aligned", F.least(F.col("n_item") - F.col("item_start"), F.size("words") - F.col("doc_start")))
