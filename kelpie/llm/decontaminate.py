@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import cut, text_or_empty
+from kelpie.llm.common import cut, sized, text_or_empty
 
 MASKS = ("1110000111", "110011011", "1101011001", "11110101")
 LONGEST = max(map(len, MASKS))
@@ -62,20 +62,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: flo
     short = sorted(r[0] for r in classes.where(F.size("words") < LONGEST).select(F.size("words")).distinct().collect())
     train = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = train.select("doc_id", F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("words")).where(F.size("words") >= min_tokens)
-    asked = cut(seeds(classes.select("class_id", "words").where(F.size("words") >= min_tokens), ["class_id"], short, whole=True).withColumnRenamed("at", "item_at"))
-    if asked.count() <= broadcast_rows:
-        asked = F.broadcast(asked)
+    asked = sized(cut(seeds(classes.select("class_id", "words").where(F.size("words") >= min_tokens), ["class_id"], short, whole=True).withColumnRenamed("at", "item_at")), broadcast_rows)
     hits = seeds(keyed, ["doc_id", "th"], short).join(asked, "h").groupBy("doc_id", "th", "class_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits"))
-    return verify(hits, train.withColumn("th", F.xxhash64("text")), classes, window, share)
+    # few documents have hits, as a rule: then their texts stay where they are
+    return verify(sized(cut(hits), broadcast_rows // 8), train.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), "text"), classes, window, share)
 
 
 def verify(hits: DataFrame, texts: DataFrame, classes: DataFrame, window: int, share: float) -> DataFrame:
     """The overlaps among (doc_id, th, class_id, diagonal)."""
     item = classes.select("class_id", F.col("words").alias("item"))
-    # the items asked for are few beside the hits; Spark picks the join by their size
-    laid = hits.join(item, "class_id").withColumn("n_item", F.size("item"))
-    met = texts.join(laid, texts["doc_id"].eqNullSafe(laid["doc_id"]) & (texts["th"] == laid["th"]))
-    both = met.select(laid["*"], tokens(texts["text"]).alias("words"))
+    met = texts.join(hits, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__th") == F.col("th")))
+    read = met.select("doc_id", "th", "class_id", "diagonal", tokens(F.col("text")).alias("words"))
+    both = read.join(item, "class_id").withColumn("n_item", F.size("item"))
     doc_start, item_start = F.greatest(F.col("diagonal"), F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     placed = both.withColumn("doc_start", doc_start).withColumn("item_start", item_start)
     placed = placed.withColumn("aligned", F.least(F.col("n_item") - F.col("item_start"), F.size("words") - F.col("doc_start")))
@@ -95,5 +93,5 @@ def verify(hits: DataFrame, texts: DataFrame, classes: DataFrame, window: int, s
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all their columns, that overlap with no item."""
-    bad = overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    bad = cut(overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__bad")).distinct())
+    return docs.join(sized(bad, 1_000_000), docs[id_col] == F.col("__bad"), "left_anti")
