@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import map_rows, text_or_empty
+from kelpie.llm.common import cut, map_rows, text_or_empty
 
 #: Where a sentence ends, with the white space after it.
 BOUNDARY = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\n+")
@@ -87,10 +87,20 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_rows(source, "doc_id long, th long, at int, n int, h1 long, h2 long, again boolean", rows, 16384)
 
 
-def repeated(found: DataFrame) -> DataFrame:
-    """(doc_id, th, covered): the runs of sentences that non-first occurrences cover."""
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    later = found.join(first, ["h1", "h2"]).where("again or doc_id > first")
+def repeated(found: DataFrame, hot_share: float = 1e-4) -> DataFrame:
+    """(doc_id, th, covered): the runs of sentences that non-first occurrences cover.
+
+    Spans with at least hot_share of all repeated occurrences, so at most 1 / hot_share spans, are looked up in a
+    broadcast; their rows get keys of their own in the join by hash, which spreads them over all tasks.
+    """
+    first = cut(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"))
+    total = first.agg(F.sum("c")).first()[0] or 0
+    is_hot = F.col("c") >= F.lit(max(64.0, hot_share * total))
+    hot = first.where(is_hot).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("first").alias("hot_first"))
+    looked_up = found.join(F.broadcast(hot), (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+    own_key = looked_up.withColumn("h1", F.when(F.col("hot_first").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "th", "at")))
+    joined = own_key.join(first.where(~is_hot).drop("c"), ["h1", "h2"], "left")
+    later = joined.withColumn("first", F.coalesce("hot_first", "first")).where("first is not null and (again or doc_id > first)")
     # a document has no more spans than sentences
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("covered"))
 
