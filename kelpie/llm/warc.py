@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import cut, shared_dir, text_or_empty, to_batch
+from kelpie.llm.common import cut, shared_dir, sized, text_or_empty, to_batch
 
 CHUNK = 1 << 18
 MANIFEST = "file string, records long, bytes long"
@@ -65,12 +65,13 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_archives(pages: DataFrame, folder: str, revisits: DataFrame | None = None, file_mb: int = 64, level: int = 4) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, revisits: DataFrame | None = None, file_mb: int = 64, level: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """Writes every page as a record; returns the manifest of the files, computed once and kept."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), text_or_empty("url").alias("url"), text_or_empty("html").cast("binary").alias("html"))
     base = base.withColumn("digest", F.unhex(F.sha1("html")))
     if revisits is not None:
-        base = base.join(revisits, ["page_id", "digest"], "left")
+        # bodies are moved only if there are too many revisits to send to all tasks
+        base = base.join(sized(cut(revisits), broadcast_rows), ["page_id", "digest"], "left")
     else:
         base = base.withColumn("refers_to", F.lit(None).cast("long"))
     limit = file_mb << 20
