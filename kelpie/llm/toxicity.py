@@ -6,7 +6,8 @@ fitted on it, so a later model learns from inputs as good as those it will get.
 prefixes (inflections and compounds share them), once for occurring and once for occurring `OFTEN` times or more.
 Models are logistic regressions over the features that tell a category most.
 
-Training takes a bounded sample of the labelled rows: the `max_train` with the smallest hash of their id. Scoring
+Training takes a bounded sample of the labelled rows: the `max_train` with the smallest hash of their id. Features
+are counted over the cluster, and only those that tell a category reach the driver. Scoring
 is one map pass over all rows; the model that is broadcast has at most `max_features` weights a category.
 
 Defined results: null texts are empty and get the models' base rate; rows with a null label in any category do
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import map_rows, text_or_empty
+from kelpie.llm.common import cut, map_rows, text_or_empty
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6, 7)
@@ -106,7 +107,7 @@ class Rows:
         return np.sort(best[z[best] > 2])
 
 
-def fit(rows: Rows, y: np.ndarray, given: np.ndarray, use: np.ndarray, most: int, steps: int = 150, l2: float = 1.0) -> tuple[Callable[[], np.ndarray], Linear]:
+def fit(rows: Rows, y: np.ndarray, given: np.ndarray, use: np.ndarray, most: int, steps: int = 80, l2: float = 1.0) -> tuple[Callable[[], np.ndarray], Linear]:
     """A model fitted on the rows in use, and the probabilities it gives to all rows."""
     n = int(use.sum())
     rate = float((y & use).sum() / n) if n else 0.0
@@ -163,8 +164,8 @@ def fit_chain(rows: Rows, fold: np.ndarray, labels: dict[str, np.ndarray], max_f
     return Chain(list(labels), models, thresholds)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int, id_col: str, text_col: str) -> tuple[Rows, np.ndarray, dict[str, np.ndarray]]:
-    """categories: name -> SQL over the label table that is 1 where it holds."""
+def sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, f) of the training rows: labels and packed features. categories: name -> SQL over the labels, 1 where it holds."""
     marks = labels.select(F.col(id_col).alias("id"), *[F.expr(e).cast("int").alias(f"y{k}") for k, e in enumerate(categories.values())])
     marks = marks.dropna().groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
     # bounded: max_train rows
@@ -175,17 +176,57 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
     def rows(batch: dict) -> Iterator[tuple]:
         get = cached(word_features)
         for i, text, *y in zip(*batch.values(), strict=True):
-            yield str(i), y, np.array(features(text, get), "<i4").tobytes()
+            yield str(i), [int(v > 0) for v in y], np.array(features(text, get), "<i4").tobytes()
 
-    got = map_rows(joined.select("id", "text", *[f"y{k}" for k in range(len(categories))]), "id string, y array<int>, f binary", rows).toArrow().to_pydict()
+    return cut(map_rows(joined.select("id", "text", *[f"y{k}" for k in range(len(categories))]), "id string, y array<int>, f binary", rows, 512))
+
+
+def telling(sample: DataFrame, n_categories: int, most: int) -> np.ndarray:
+    """Features that occur in three rows or more and tell some category best: at most `most` for each category.
+
+    Counted over the cluster; the difference of two rates in standard errors is what Rows.select goes by, too.
+    """
+    names = [f"y{k}" for k in range(n_categories)]
+
+    def rows(batch: dict) -> Iterator[tuple]:
+        found = [np.frombuffer(f, "<i4") for f in batch["f"]]
+        ids, at = np.unique(np.concatenate(found), return_inverse=True)
+        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        y = np.array(batch["y"], np.int64)
+        counts = [np.bincount(at), *[np.bincount(at, y[row, k], len(ids)).astype(np.int64) for k in range(n_categories)]]
+        yield from zip(ids.tolist(), *[c.tolist() for c in counts], strict=True)
+
+    parts = map_rows(sample.where("length(f) > 0"), f"f int, n long, {', '.join(f'{x} long' for x in names)}", rows, 65536)
+    counts = cut(parts.groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).where("n >= 3"))
+    total, *positive = sample.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("y")[k]), F.lit(0)) for k in range(n_categories)]).first()
+    best = []
+    for name, p in zip(names, positive, strict=True):
+        rate = (F.col("n") + 0.5) / (total + 1)
+        z = F.abs(F.col(name) - p * rate) / F.sqrt(p * rate * (1 - rate) + 1e-9)
+        best.append(counts.select("f", z.alias("z")).where("z > 2").orderBy(F.desc("z"), "f").limit(most).toArrow().column("f").to_numpy())
+    return np.unique(np.concatenate(best))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int, max_features: int, id_col: str, text_col: str) -> tuple[Rows, np.ndarray, dict[str, np.ndarray]]:
+    """The sample's rows, reduced to telling features where they lie, their folds and labels."""
+    sample = sampled(docs, labels, categories, max_train, id_col, text_col)
+    chosen = telling(sample, len(categories), max_features)
+
+    def rows(batch: dict) -> Iterator[tuple]:
+        for i, y, f in zip(batch["id"], batch["y"], batch["f"], strict=True):
+            got = np.frombuffer(f, "<i4")
+            at = np.minimum(np.searchsorted(chosen, got), len(chosen) - 1)
+            yield i, y, (got[chosen[at] == got] if len(chosen) else got[:0]).tobytes()
+
+    got = map_rows(sample, "id string, y array<int>, f binary", rows, 512).toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda k: (got["id"][k], got["f"][k]))
     fold = np.array([zlib.crc32(got["id"][k].encode()) % FOLDS for k in order], np.int64)
     y = {name: np.array([got["y"][k][c] > 0 for k in order], bool) for c, name in enumerate(categories)}
     return Rows([np.frombuffer(got["f"][k], "<i4").astype(np.int64) for k in order]), fold, y
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = 16_000, max_features: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    rows, fold, y = training_rows(docs, labels, categories, max_train, id_col, text_col)
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = 16_000, max_features: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    rows, fold, y = training_rows(docs, labels, categories, max_train, max_features, id_col, text_col)
     return fit_chain(rows, fold, y, max_features)
 
 
