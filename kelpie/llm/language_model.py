@@ -6,11 +6,14 @@ escape), where the symbols of the longer context are excluded; below the empty c
 is scored as its words, A-Z lower-cased, joined by one space and closed by a line feed, which no word holds; its
 code length is the sum over these bytes.
 
-Scale: counts are summed map-side, then by key over the cluster. The trie that is broadcast holds the nodes seen in
-at least a share `node_share` of all training bytes, so at most 1 / node_share of them per order at any size of the
-corpus. Likewise words with at least `word_share` of all tokens, at most 1 / word_share of them, are scored in
-place; the rarer ones are joined by word, spread over the cluster. Exclusion needs no search: a context keeps the
-sums that its own symbols take in the next shorter context.
+Scale: no counted node is left out. Grams (a byte and the ORDER bytes before it) are counted map-side, then by key
+over the cluster, those of held-out texts with 0. They are dealt by the last LOW bytes of context, so that a task has
+every node of the orders from LOW on that its grams can meet, and their log-probabilities are computed there, a few
+groups at a time; the nodes of the orders below LOW, of which valid UTF-8 has some millions at most, are broadcast.
+Grams that make at least a share `node_share` of all training bytes, at most 1 / node_share of them, are broadcast
+with their log-probabilities and scored in place, as are words with at least `word_share` of all tokens; the rarer
+ones of a document are joined by key, spread over the cluster. The shares say where a lookup is done, not its result.
+Exclusion needs no search: a context keeps the sums that its own symbols take in the next shorter context.
 
 Defined results: null and empty texts are one token, the end; repeated rows get a row each; an id may repeat or be
 null (null ids are training rows); without training rows every byte has probability 1/256 and the base score is 0.
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import cut, text_or_empty, to_batch
 
 ORDER = 6
+LOW = 3
 END = b"\n"
 PAD = END * ORDER
 PIECE = 1 << 20
@@ -102,27 +107,38 @@ def count_words(batches: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iter
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts, first)
 
 
+def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+
+
 def count_grams(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    bodies = ((0, b" ".join(normalized(t.as_py()))) for batch in batches for t in batch.column("text"))
+    """Distinct grams of all texts and how often they occur in the training ones."""
+    bodies = ((int(not h.as_py()), b" ".join(normalized(t.as_py()))) for batch in batches for t, h in zip(batch.column("text"), batch.column("held_out"), strict=True))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for buffer, _, starts in pieces(bodies):
-        held.append(np.unique(grams(buffer)[valid(buffer, starts)], return_counts=True))
-        size += len(held[-1][0])
+    for buffer, owners, starts in pieces(bodies):
+        g, ok = grams(buffer), valid(buffer, starts)
+        training = np.repeat(np.array(owners, bool), np.diff([*starts, len(g)]))
+        held.append(np.unique(g[ok & training], return_counts=True))
+        other = np.unique(g[ok & ~training])
+        held.append((other, np.zeros(len(other), np.int64)))
+        size += len(held[-1][0]) + len(held[-2][0])
         if size > limit:
-            merged = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            merged = merge(held)
             held, size = [merged], len(merged[0])
             if size > limit // 2:
                 yield merged
                 held, size = [], 0
     if held:
-        yield summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        yield merge(held)
 
 
 def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +149,42 @@ def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+class Table:
+    """An open-addressed table from grams to log10 probabilities, filled to a quarter at most."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, math.ceil(math.log2(4 * len(keys) + 1)))
+        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        left, place = np.arange(len(keys)), self.slot(keys)
+        while len(left):
+            free = self.slots[place] == -1
+            self.slots[place[free]] = keys[left[free]]
+            mine = self.slots[place] == keys[left]
+            self.values[place[mine]] = values[left[mine]]
+            left, place = left[~mine], (place[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each gram, 0 where it has none, and the places of those without."""
+        out = np.zeros(len(g), np.float64)
+        place = self.slot(g)
+        held = self.slots[place]
+        hit = held == g
+        out[hit] = self.values[place[hit]]
+        open_ = np.flatnonzero(~hit & (held != -1))
+        lost = [np.flatnonzero(held == -1)]
+        while len(open_):
+            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.slots[place[open_]]
+            hit = held == g[open_]
+            out[open_[hit]] = self.values[place[open_[hit]]]
+            lost.append(open_[held == -1])
+            open_ = open_[~hit & (held != -1)]
+        return out, np.concatenate(lost)
+
+
 class Trie:
     """The model.
 
@@ -158,46 +210,17 @@ class Trie:
                 at, there = found(nodes[k - 1][0], keys & mask(k - 1))
                 below = np.add.reduceat(np.where(there, nodes[k - 1][1][at], 0), first)
             self.contexts.append((ctx[first], total, symbols, below, total - kept))
-        self.build_table()
 
-    def build_table(self) -> None:
-        """An open-addressed table from full-length keys to log10 probabilities, filled to a quarter at most."""
+    @cached_property
+    def table(self) -> Table:
         keys, counts = self.nodes[ORDER]
-        self.bits = max(4, math.ceil(math.log2(4 * len(keys) + 1)))
-        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        if not len(keys):
-            return
         ctxs, total, *_ = self.contexts[ORDER]
         at, _ = found(ctxs, keys >> 8)
-        values = np.log10((2 * counts - 1) / (2 * total[at]))
-        left, place = np.arange(len(keys)), self.slot(keys)
-        while len(left):
-            free = self.slots[place] == -1
-            self.slots[place[free]] = keys[left[free]]
-            mine = self.slots[place] == keys[left]
-            self.values[place[mine]] = values[left[mine]]
-            left, place = left[~mine], (place[~mine] + 1) & ((1 << self.bits) - 1)
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return Table(keys, np.log10((2 * counts - 1) / (2 * total[at])) if len(keys) else np.zeros(0))
 
     def logs(self, g: np.ndarray) -> np.ndarray:
         """log10 P(symbol | context) of each gram."""
-        out = np.zeros(len(g), np.float64)
-        place = self.slot(g)
-        held = self.slots[place]
-        hit = held == g
-        out[hit] = self.values[place[hit]]
-        open_ = np.flatnonzero(~hit & (held != -1))
-        lost = [np.flatnonzero(held == -1)]
-        while len(open_):
-            place[open_] = (place[open_] + 1) & ((1 << self.bits) - 1)
-            held = self.slots[place[open_]]
-            hit = held == g[open_]
-            out[open_[hit]] = self.values[place[open_[hit]]]
-            lost.append(open_[held == -1])
-            open_ = open_[~hit & (held != -1)]
-        missing = np.concatenate(lost)
+        out, missing = self.table.lookup(g)
         if len(missing):
             distinct, back = np.unique(g[missing], return_inverse=True)
             out[missing] = self.escape(distinct)[back]
@@ -249,31 +272,62 @@ def rows_of(pairs: Iterator[tuple], schema: pa.Schema, size: int = 32768) -> Ite
         yield to_batch(held, schema)
 
 
-def train(texts: DataFrame, node_share: float) -> Trie:
-    """texts: the binary column text of the training rows."""
+def gram_key(g: np.ndarray) -> pa.Array:
+    """Grams as keys of eight bytes, the first a line feed, which no word holds."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(g), [None, pa.py_buffer((g | END[0] << 56).astype(">i8").tobytes())]).cast(pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def logs_of(g: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 P of grams, among which are all counted ones that share their last LOW bytes of context."""
+    counted = n > 0
+    keys, counts = summed(g[counted], n[counted])
+    return Trie([*low, *(summed(keys & mask(k), counts) for k in range(LOW, ORDER + 1))]).escape(g)
+
+
+def train(texts: DataFrame, some: int = 1 << 20) -> tuple[DataFrame, int]:
+    """(word, n, lp) for every gram of the texts, as gram_key, its count in the training texts and its log10 P; and the training bytes.
+
+    texts: the binary column text, and held_out.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, counts in count_grams(batches):
             for at in range(0, len(keys), 65536):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 65536]), pa.array(counts[at : at + 65536])], ["g", "n"])
 
-    full = texts.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    orders = F.array(*[F.struct(F.lit(k).alias("k"), F.col("g").bitwiseAND(F.lit(mask(k))).alias("g")) for k in range(ORDER + 1)])
-    nodes = cut(full.select(F.explode(orders).alias("o"), "n").groupBy(F.col("o.k").alias("k"), F.col("o.g").alias("g")).agg(F.sum("n").alias("n")))
-    total = nodes.where("k = 0").agg(F.sum("n")).first()[0] or 0
-    followed = nodes.groupBy("k", F.shiftright("g", 8).alias("g")).agg(F.sum("n").alias("n"))
-    # at most 1 / node_share nodes, and as many contexts, of each order have so large a share
-    return Trie(*(by_order(x.where(F.col("n") >= F.lit(node_share * total)).toArrow()) for x in (nodes, followed)))
-
-
-def by_order(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    k, g, n = (rows.column(c).to_numpy() for c in ("k", "g", "n"))
-    tables = []
-    for order in range(ORDER + 1):
-        own = np.flatnonzero(k == order)
-        own = own[np.argsort(g[own])]
-        tables.append((g[own].astype(np.int64), n[own].astype(np.int64)))
-    return tables
+    full = cut(texts.select("text", "held_out").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    lowest = full.where("n > 0").groupBy(F.col("g").bitwiseAND(F.lit(mask(LOW - 1))).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    g, n = (lowest.column(c).to_numpy().astype(np.int64) for c in ("g", "n"))
+    low = texts.sparkSession.sparkContext.broadcast([summed(g & mask(k), n) for k in range(LOW)])
+
+    def score_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, limit = 0, some
+
+        def done(g: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            lp = logs_of(g, n, low.value)
+            for at in range(0, len(g), 65536):
+                k = slice(at, at + 65536)
+                yield pa.RecordBatch.from_arrays([gram_key(g[k]), pa.array(n[k]), pa.array(lp[k])], ["word", "n", "lp"])
+
+        for batch in batches:
+            held.append((batch.column("g").to_numpy(), batch.column("n").to_numpy()))
+            size += batch.num_rows
+            if size >= limit:
+                g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                tail = g >> 8 & mask(LOW - 1)
+                # the last group may go on in the next batch
+                whole = int(np.searchsorted(tail, tail[-1]))
+                if whole:
+                    yield from done(g[:whole], n[:whole])
+                held, size = [(g[whole:], n[whole:])], len(g) - whole
+                limit = max(some, 2 * size)
+        if size:
+            yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    tail = F.shiftright("g", 8).bitwiseAND(F.lit(mask(LOW - 1)))
+    dealt = full.withColumn("tail", tail).repartition("tail").sortWithinPartitions("tail").select("g", "n")
+    return cut(dealt.mapInArrow(score_grams, "word binary, n long, lp double")), int(n.sum())
 
 
 def score(docs: DataFrame, node_share: float = 2.0**-21, word_share: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,6 +335,7 @@ def score(docs: DataFrame, node_share: float = 2.0**-21, word_share: float = 1e-
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), held_out(F.col(id_col)).alias("held_out"))
     training = source.where("not held_out").select("text")
+    spelt, n_bytes = train(source)
     word_schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
     counts = cut(training.mapInArrow(lambda batches: rows_of(count_words(batches), word_schema), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -288,44 +343,69 @@ def score(docs: DataFrame, node_share: float = 2.0**-21, word_share: float = 1e-
     # at most 1 / word_share words have so large a share of the tokens
     often = counts.where(F.col("n") >= F.lit(least)).toArrow()
     words = dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True))
-    model = spark.sparkContext.broadcast((train(training, node_share), words))
+    # at most 1 / node_share grams have so large a share of the bytes
+    least_bytes = max(1.0, node_share * n_bytes)
+    hot = spelt.where(F.col("n") >= F.lit(least_bytes)).select("word", "lp").toArrow()
+    grams_of = np.array([int.from_bytes(w[1:], "big") for w in hot.column("word").to_pylist()], np.int64)
+    model = spark.sparkContext.broadcast((Table(grams_of, hot.column("lp").to_numpy()), words))
     weight = math.log10(total + distinct + 1)
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    doc = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    # of a document, its own row, its rarer words with their times, and its rarer grams with their hits
+    schema = pa.schema([("rid", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("hits", pa.int64()), ("doc", doc)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = model.value
+        table, known = model.value
         logs = {w: math.log10(c + 1) - weight for w, c in known.items()}
         rid = TaskContext.get().partitionId() << 36
-
-        def rows() -> Iterator[tuple]:
-            nonlocal rid
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
-                    tokens = [normalized(t.as_py()) for t in some.column("text")]
-                    scores = trie.scores([b" ".join(t) for t in tokens])
-                    for doc_id, held, t, s in zip(some.column("doc_id").to_pylist(), some.column("held_out").to_pylist(), tokens, scores, strict=True):
-                        rid += 1
-                        times = Counter(t)
-                        times[END] += 1
-                        rare = [(w, c) for w, c in times.items() if w not in logs]
-                        base = math.fsum(c * logs[w] for w, c in times.items() if w in logs)
-                        n_known = sum(c for w, c in times.items() if w in logs)
-                        # a document's own row has a key that no word has and that spreads like words
-                        yield rid, doc_id, held, END + b"%d" % rid, 0, len(t) + 1, n_known, base, float(s)
-                        for w, c in rare:
-                            yield rid, doc_id, held, w, c, 0, 0, 0.0, 0.0
-
-        yield from rows_of(rows(), schema)
-
-    scored = source.mapInArrow(run, "rid long, doc_id long, held_out boolean, word binary, times long, n_tokens long, n_known long, base double, score double")
-    rare = counts.where(F.col("n") < F.lit(least)).withColumnRenamed("n", "c")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                tokens = [normalized(t.as_py()) for t in some.column("text")]
+                scores = np.zeros(len(tokens))
+                for buffer, owners, starts in pieces((k, b" ".join(t)) for k, t in enumerate(tokens)):
+                    g, ok = grams(buffer), valid(buffer, starts)
+                    values, missing = table.lookup(g)
+                    values[~ok] = 0
+                    np.add.at(scores, owners, np.add.reduceat(values, starts))
+                    missing = missing[ok[missing]]
+                    whose = np.repeat(np.array(owners, np.int64), np.diff([*starts, len(g)]))[missing]
+                    yield from rare_grams(g[missing], whose + rid + 1, schema)
+                rows = []
+                for doc_id, held, t, s in zip(some.column("doc_id").to_pylist(), some.column("held_out").to_pylist(), tokens, scores, strict=True):
+                    rid += 1
+                    times = Counter(t)
+                    times[END] += 1
+                    base = math.fsum(c * logs[w] for w, c in times.items() if w in logs)
+                    n_known = sum(c for w, c in times.items() if w in logs)
+                    # a document's own row has a key that no word or gram has and that spreads like words
+                    rows.append((rid, END + b"%016x" % rid, 0, 0, {"doc_id": doc_id, "held_out": held, "n_tokens": len(t) + 1, "n_known": n_known, "base": base, "score": float(s)}))
+                    rows += [(rid, w, c, 0, None) for w, c in times.items() if w not in logs]
+                yield from rows_of(iter(rows), schema)
+
+    scored = source.mapInArrow(run, "rid long, word binary, times long, hits long, doc struct<doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double>")
+    rare = counts.where(F.col("n") < F.lit(least)).select("word", F.col("n").alias("c"), F.lit(None).cast("double").alias("lp"))
+    rare = rare.unionByName(spelt.where(F.col("n") < F.lit(least_bytes)).select("word", F.lit(None).cast("long").alias("c"), "lp"))
     joined = scored.join(rare, "word", "left")
     tail = F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(weight))
-    summed_up = joined.groupBy("rid", "doc_id", "held_out").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + tail).alias("base_score"),
-        F.sum("score").alias("score"),
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    summed_up = joined.groupBy("rid").agg(
+        F.max("doc.doc_id").alias("doc_id"),
+        F.max("doc.held_out").alias("held_out"),
+        F.sum("doc.n_tokens").alias("n_tokens"),
+        F.sum(zero(F.col("doc.n_known")) + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(zero(F.col("doc.base")) + tail).alias("base_score"),
+        F.sum(zero(F.col("doc.score")) + F.when(F.col("hits") > 0, F.col("hits") * F.col("lp")).otherwise(0.0)).alias("score"),
     )
     return summed_up.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def rare_grams(g: np.ndarray, rid: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct gram of each document, with how often it has it."""
+    order = np.lexsort((g, rid))
+    g, rid = g[order], rid[order]
+    first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (rid[1:] != rid[:-1])])) if len(g) else np.zeros(0, np.int64)
+    hits = np.diff(np.concatenate([first, [len(g)]]))
+    for at in range(0, len(first), 32768):
+        k = first[at : at + 32768]
+        columns = [pa.array(rid[k]), gram_key(g[k]), pa.array(np.zeros(len(k), np.int64)), pa.array(hits[at : at + 32768]), pa.nulls(len(k), schema.field("doc").type)]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -373,6 +373,20 @@ def test_language_model(spark):
     assert len(language_model.score(odd(spark)).collect()) == len(ODD)
 
 
+def test_every_counted_node_is_scored(spark):
+    """Which grams are broadcast and which are joined changes no score, and rare ones keep their evidence."""
+    docs = [(k, text(6)) for k in range(60)] + [(70, "é 日本 unseen qqzzqq"), (71, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    body = {i: b" ".join((x or "").lower().encode().split()) for i, x in docs}
+    train = [b for i, b in body.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    own = lambda b: language_model.grams(language_model.PAD + b + language_model.END)
+    g = np.concatenate([own(b) for b in train])
+    trie = language_model.Trie([np.unique(g & language_model.mask(k), return_counts=True) for k in range(language_model.ORDER + 1)])
+    expected = {i: trie.escape(own(b)).sum() for i, b in body.items()}
+    for share in (2.0**-21, 0.002, 1.0):
+        assert {r.doc_id: r.score for r in language_model.score(df, node_share=share).collect()} == pytest.approx(expected, rel=1e-5)
+
+
 def plain_ppm(nodes, gram):
     """log10 P by the definition, from counts of every order."""
     order, excluded, out = len(nodes) - 1, set(), 0.0
