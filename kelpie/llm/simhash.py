@@ -18,7 +18,7 @@ table gives an empty result. Only the id and the text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,21 +68,12 @@ def masks(radius: int, bits: int = 64) -> list[int]:
     return [signed(sum(1 << i for i in range(bits) if (phi[i] & v).bit_count() & 1)) for v in range(1, n + 1)]
 
 
-def forest(fp: np.ndarray, block: np.ndarray, node: list[int], radius: int, signature: np.ndarray | None = None, limit: int = 0) -> Iterator[tuple[int, int]]:
-    """Spanning links of one group: within a block if it has one, else between its two blocks.
-
-    With signatures, a row of words for each node, a link also needs at most limit bits between them.
-    """
+def forest(fp: np.ndarray, block: np.ndarray, node: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """Spanning links of one group: within a block if it has one, else between its two blocks."""
     m = len(fp)
     near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
     if block.min() != block.max():
         near &= block[:, None] != block[None, :]
-    if signature is not None and near.any():
-        i, j = np.nonzero(np.triu(near, 1))
-        for at in range(0, len(i), STEP):
-            k = slice(at, at + STEP)
-            far = np.bitwise_count(signature[i[k]] ^ signature[j[k]]).sum(1, dtype=np.int64) > limit
-            near[i[k][far], j[k][far]] = near[j[k][far], i[k][far]] = False
     np.fill_diagonal(near, True)
     label = np.arange(m)
     while True:
@@ -101,45 +92,49 @@ def forest(fp: np.ndarray, block: np.ndarray, node: list[int], radius: int, sign
                 yield least, other
 
 
-def links(nodes: DataFrame, radius: int = 3, block: int = 512, fps: tuple[str, ...] = ("fp",), limit: int | None = None) -> DataFrame:
-    """Edges (u, v), u < v, that connect the same nodes as all pairs of nodes within the radius in any of the fps.
+def links(nodes: DataFrame, radius: int = 3, block: int = 512) -> DataFrame:
+    """Edges (u, v), u < v, that connect the same nodes as all pairs of nodes (node, fp) within the radius.
 
-    nodes: node, the fps, and with a limit also signature (array<long>): pairs further apart than limit bits in it
-    are not linked. Nodes that are equal in all of these should be one row.
+    Nodes that are equal in fp should be one row.
     """
-    covering = masks(radius)
-    tables = [F.struct(F.lit(k * len(covering) + t).cast("short").alias("t"), F.col(fp).bitwiseAND(F.lit(m).cast("long")).alias("key"), F.col(fp).alias("fp")) for k, fp in enumerate(fps) for t, m in enumerate(covering)]
-    spread = nodes.select("node", F.explode(F.array(*tables)).alias("b")).select("b.t", "b.key", "node", "b.fp")
+    tables = [F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks(radius))]
+    spread = nodes.select("node", "fp", F.explode(F.array(*tables)).alias("b")).select("b.t", "b.key", "node", "fp")
     sizes = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n_blocks = F.ceil(F.col("n") / block).cast("int")
-    met = spread.join(sizes, ["t", "key"]).withColumn("nb", n_blocks).withColumn("own", F.when(F.col("nb") > 1, F.pmod(F.xxhash64("fp", "node"), F.col("nb"))).otherwise(0).cast("int"))
-    member = ["fp", "own", "node"]
-    if limit is not None:
-        # only members of shared buckets get their signatures
-        met, member = met.join(nodes.select("node", "signature"), "node"), [*member, "signature"]
-    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("i"), F.greatest(c, F.col("own")).alias("j")))
-    dealt = met.select("t", "key", *member, F.explode(pairs).alias("p"))
+    met = in_blocks(spread.join(sizes, ["t", "key"]).withColumn("nb", n_blocks), "fp", "node")
     # at most two blocks: a bounded list
-    groups = dealt.groupBy("t", "key", "p").agg(F.collect_list(F.struct(*member)).alias("m")).where(F.size("m") > 1)
+    groups = with_block_pairs(met).groupBy("t", "key", "p").agg(F.collect_list(F.struct("fp", "own", "node")).alias("m")).where(F.size("m") > 1)
     x, y = F.col("m")[0], F.col("m")[1]
-    close = F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius
-    if limit is not None:
-        bits = F.transform(F.arrays_zip(x["signature"].alias("a"), y["signature"].alias("b")), lambda w: F.bit_count(w["a"].bitwiseXOR(w["b"])))
-        close &= F.aggregate(bits, F.lit(0), lambda acc, b: acc + b) <= limit
     # most buckets hold two: built-in functions decide these
-    two = groups.where(F.size("m") == 2).where(close)
+    two = groups.where(F.size("m") == 2).where(F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius)
     few = two.select(F.least(x["node"], y["node"]).alias("u"), F.greatest(x["node"], y["node"]).alias("v"))
 
+    def decide(members: pa.StructArray) -> Iterator[tuple[int, int]]:
+        fp = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        return forest(fp, members.field("own").to_numpy(zero_copy_only=False), members.field("node").to_pylist(), radius)
+
+    return few.where("u < v").unionByName(linked(groups.where(F.size("m") > 2), decide)).distinct()
+
+
+def in_blocks(members: DataFrame, *by: str) -> DataFrame:
+    """The members of buckets, each dealt to one, own, of its bucket's nb blocks."""
+    return members.withColumn("own", F.when(F.col("nb") > 1, F.pmod(F.xxhash64(*by), F.col("nb"))).otherwise(0).cast("int"))
+
+
+def with_block_pairs(members: DataFrame) -> DataFrame:
+    """A row for each member and each pair p of blocks its block is in."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda c: F.struct(F.least(c, F.col("own")).alias("i"), F.greatest(c, F.col("own")).alias("j")))
+    return members.withColumn("p", F.explode(pairs))
+
+
+def linked(groups: DataFrame, decide: Callable[[pa.StructArray], Iterator[tuple[int, int]]]) -> DataFrame:
+    """The edges (u, v) that decide() finds among the members m of each group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for m in batch.column("m"):
-                fields = m.values
-                fp = fields.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                signature = None
-                if limit is not None:
-                    signature = fields.field("signature").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), -1)
-                for a, b in forest(fp, fields.field("own").to_numpy(zero_copy_only=False), fields.field("node").to_pylist(), radius, signature, limit or 0):
+                for a, b in decide(m.values):
                     u.append(a)
                     v.append(b)
                 if len(u) > 1 << 16:
@@ -147,8 +142,7 @@ def links(nodes: DataFrame, radius: int = 3, block: int = 512, fps: tuple[str, .
                     u, v = [], []
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    many = groups.where(F.size("m") > 2).select("m").mapInArrow(run, "u long, v long")
-    return few.where("u < v").unionByName(many).distinct()
+    return groups.select("m").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -194,77 +188,112 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+#: Tables of the search for similar texts, and min-hashes that must agree in one of them: of pairs at a Jaccard
+#: similarity of 0.8 a share of (1 - 0.8**5)**20 = 0.0004 meets in no table.
+BANDS, ROWS = 20, 5
 #: Constants that make further hashes of one: odd multipliers.
-MIX = tuple((0x9E3779B97F4A7C15 * (2 * k + 1) + 0x632BE59BD9B4E019 * k) % (1 << 64) | 1 for k in range(1, 9))
-#: Fingerprints of words for the search, and 64-bit words of the signature of shingles that decides.
-SEARCH, DECIDE = 2, 4
-
-
-def simhash(hashes: np.ndarray, constants: tuple[int, ...]) -> list[int]:
-    """A 64-bit SimHash for each constant, over distinct features given by their hashes."""
-    out = []
-    for c in constants:
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), STEP):
-            h = hashes[at : at + STEP] * np.uint64(c)
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
-    return out
-
-
-def profile(text: bytes, shingle: int) -> tuple[list[int], list[int]]:
-    """SEARCH fingerprints of the distinct words and DECIDE ones of the distinct shingles."""
+MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) + 0x632BE59BD9B4E019 * k) % (1 << 64) | 1 for k in range(1, BANDS * ROWS + 1)], np.uint64)
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted hashes of the distinct word shingles; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
-        return [0] * SEARCH, [0] * DECIDE
+        return np.zeros(0, np.uint64)
     hashed, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
-    single = {hashed(w) for w in set(words)}
     runs = {hashed(b" ".join(words[i : i + shingle])) for i in range(n)}
-    as_array = lambda x: np.fromiter(x, "<u8", len(x))
-    return simhash(as_array(single), MIX[:SEARCH]), simhash(as_array(runs), MIX[SEARCH : SEARCH + DECIDE])
+    return np.sort(np.fromiter(runs, "<u8", len(runs)))
 
 
-def limit_for(similarity: float, errors: float = 1.0) -> int:
-    """Signature bits that may differ at a Jaccard similarity of shingles, with so many standard errors of slack."""
-    cosine = 2 * similarity / (1 + similarity)
-    p, n = np.arccos(cosine) / np.pi, 64 * DECIDE
-    return int(n * p + errors * np.sqrt(n * p * (1 - p)))
+def set_key(own: np.ndarray) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(own.tobytes())
+    return signed(h >> 64), signed(h & (1 << 64) - 1)
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) by similarity of word shingles.
+def bands(own: np.ndarray) -> list[int]:
+    """A hash of ROWS min-hashes for each of the BANDS tables."""
+    least = np.full(len(MIX), np.iinfo(np.uint64).max)
+    for at in range(0, len(own), STEP >> 3):
+        h = own[None, at : at + (STEP >> 3)] * MIX[:, None]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        least = np.minimum(least, h.min(1))
+    return [signed(xxhash.xxh64_intdigest(row.tobytes(), SEED)) for row in least.reshape(BANDS, ROWS)]
 
-    A pair at a Jaccard similarity of 0.8 over five-word shingles differs in some ten bits of their fingerprint, far
-    beyond a radius that tables can cover; but one changed word changes five shingles, so the fingerprints of the
-    words alone stay close. Candidates are pairs within the radius in one of two such fingerprints (95 % of pairs at
-    0.8 to 0.85, all but a few of closer ones, in the test data); the 256-bit fingerprint of the shingles decides,
-    by the similarity it estimates, less one standard error.
-    """
 
-    def rows(batch: dict) -> Iterator[tuple]:
-        for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-            search, decide = profile(text, shingle)
-            yield i, *map(signed, search), list(map(signed, decide))
+def alike(sets: list[np.ndarray], block: list[int], node: list[int], similarity: float) -> Iterator[tuple[int, int]]:
+    """Spanning links of one group by exact Jaccard similarity: within a block if it has one, else between its two.
 
-    names = [f"f{k}" for k in range(SEARCH)]
+    Only pairs that are connected already are not compared.
+    """
+    crossing = len(set(block)) > 1
+    left = list(range(len(sets)))
+    while left:
+        reached = [left.pop()]
+        while reached:
+            i, rest = reached.pop(), []
+            for j in left:
+                a, b = sorted((len(sets[i]), len(sets[j])))
+                close = not (crossing and block[i] == block[j]) and a >= similarity * b - 1e-9
+                if close:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    close = both >= similarity * (a + b - both) - 1e-9
+                if close:
+                    reached.append(j)
+                    yield min(node[i], node[j]), max(node[i], node[j])
+                else:
+                    rest.append(j)
+            left = rest
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 256, most: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) by Jaccard similarity of word shingles.
+
+    A pair at a similarity of 0.8 over five-word shingles differs in some ten bits of their SimHash, far beyond a
+    radius that tables can cover. Candidates are the pairs that agree in the min-hashes of one of BANDS tables; the
+    shingles themselves decide each. Buckets with the same members are one, and only members of shared buckets have
+    their shingles moved, in blocks of about `block` texts and `most` shingles at most.
+    """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    profiles = cut(map_rows(source, f"doc_id long, {', '.join(f'{n} long' for n in names)}, signature array<long>", rows))
-    same = [*names, "signature"]
-    nodes = cut(profiles.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    found = components(links(nodes.where("node is not null").select("node", *same), radius, fps=tuple(names), limit=limit_for(similarity)))
+
+    def profile(batch: dict) -> Iterator[tuple]:
+        for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+            own = shingles(text, shingle)
+            yield i, *set_key(own), len(own), bands(own)
+
+    def read(batch: dict) -> Iterator[tuple]:
+        for text in batch["text"]:
+            own = shingles(text, shingle)
+            yield *set_key(own), own.view(np.int64)
+
+    same = ["h1", "h2"]
+    profiles = cut(map_rows(source, "doc_id long, h1 long, h2 long, size int, bands array<long>", profile))
+    nodes = cut(profiles.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    spread = nodes.where("node is not null").select(*same, "node", "size", F.posexplode("bands").alias("t", "key"))
+    buckets = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64(*same)).alias("x"), F.bit_xor(F.xxhash64("h2", "h1", F.lit(1))).alias("y")).where("c > 1")
+    # the tables in which a pair meets mostly hold the same members: one of these buckets is enough
+    distinct = buckets.groupBy("c", "x", "y").agg(F.min(F.struct("t", "key", "total")).alias("b")).select("b.t", "b.key", F.ceil(F.greatest(F.col("c") / block, F.col("b.total") / most)).cast("int").alias("nb"))
+    members = cut(in_blocks(spread.join(distinct, ["t", "key"]), *same).select("t", "key", *same, "node", "nb", "own"))
+    wanted = cut(members.select(F.col("node").alias("doc_id")).distinct())
+    sets = map_rows(source.join(sized(wanted, 1_000_000), "doc_id", "left_semi"), "h1 long, h2 long, shingles array<long>", read, 256).dropDuplicates(same)
+    groups = with_block_pairs(members).join(sets, same).groupBy("t", "key", "p").agg(F.collect_list(F.struct("own", "node", "shingles")).alias("m")).where(F.size("m") > 1)
+
+    def decide(members: pa.StructArray) -> Iterator[tuple[int, int]]:
+        own = [x.values.to_numpy(zero_copy_only=False) for x in members.field("shingles")]
+        return alike(own, members.field("own").to_pylist(), members.field("node").to_pylist(), similarity)
+
+    found = components(linked(groups, decide).where("u < v").distinct())
     known = nodes.join(found, "node", "left").where("n > 1 or component is not null").select(*same, F.coalesce("component", "node").alias("component_id"))
-    return profiles.join(known, same, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return profiles.select("doc_id", *same).join(known, same, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all their columns, without those of a component of similar() but the one with the smallest id.
 
     Of rows that repeat that id all stay. Rows without an id stay.
     """
-    found = similar(docs, shingle, similarity, radius, id_col, text_col)
+    found = similar(docs, shingle, similarity, id_col=id_col, text_col=text_col)
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     # ids only: a million are some megabytes
     return docs.join(sized(gone, 1_000_000), docs[id_col] == F.col("__gone"), "left_anti")

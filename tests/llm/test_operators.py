@@ -267,6 +267,24 @@ def test_similar_documents_leave_one(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == list(range(30))
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_similar_pairs_at_the_threshold(spark, block):
+    """Pairs whose changed words are new are found from a Jaccard similarity of 0.8 on, and no others."""
+    docs = []
+    for k in range(150):
+        words = [f"{R.choice(VOCABULARY)}{R.randrange(300)}" for _ in range(R.choice([60, 100, 150, 300]))]
+        other = words[:]
+        for j in R.sample(range(5, len(words) - 5), max(1, len(words) // 45)):
+            other[j] = f"new{k}x{j}"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    docs += [(1000 + k, docs[0][1] + f" a{k} b{k} c{k}") for k in range(30)]
+    runs = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, x in docs for w in [x.split()]}
+    near = [(i, j) for i in runs for j in runs if i < j and 5 * len(runs[i] & runs[j]) >= 4 * len(runs[i] | runs[j])]
+    expected = components_of(runs, near)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar(df, block=block).collect()} == expected and len(near) > 60
+
+
 def test_near_duplicates_odd(spark):
     got = simhash.near_duplicates(odd(spark), 3).collect()
     assert len(got) == len(ODD) and simhash.near_duplicates(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
