@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? or an ellipsis and white space, and at line ends); a sentence of more
-than `long_words` words is cut further after words chosen by their own hash, so that equal passages are cut alike
-wherever they stand. From every sentence a span starts: the shortest run of at least `min_sentences` sentences
+A text is cut into sentences (after . ! ? or an ellipsis and white space, and at line ends), and these after the word
+with the least hash of every `window` consecutive words they hold. So no piece has more than `window` words, and equal
+passages are cut alike but for their first and last window - 1 words, wherever they stand: at a window of 8, every 50
+words that occur twice hold four equal cuts and a whole span of 20 words. "Sentence" is such a piece below. From every sentence a span starts: the shortest run of at least `min_sentences` sentences
 with at least `min_words` words. Spans are hashed over their lower-cased words and joined over the whole corpus.
 The first occurrence (smallest document, then position) stays; a sentence covered by any other is removed.
 
@@ -29,13 +30,26 @@ from kelpie.llm.common import cut, map_rows, text_or_empty
 
 #: Where a sentence ends, with the white space after it.
 BOUNDARY = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|\n+")
-PIECE = re.compile(r"\S+\s*")
-MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 3, 20, 16
+PIECE = re.compile(r"(\S+)\s*")
+MIN_SENTENCES, MIN_WORDS, WINDOW = 3, 20, 8
 #: Stands for a null id; it sorts first.
 NO_ID = -(1 << 63)
 
 
-def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
+def chosen(hashes: list[int], window: int) -> Iterator[int]:
+    """The place of the least hash, the last one of equals, of every window, in order and each once."""
+    least = -1
+    for end in range(window - 1, len(hashes)):
+        begin, before = end - window + 1, least
+        if least < begin:
+            least = max(range(begin, end + 1), key=lambda k: (-hashes[k], k))
+        elif hashes[end] <= hashes[least]:
+            least = end
+        if least != before:
+            yield least
+
+
+def sentences(text: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Offsets of the sentences; together they cover the text."""
     found, end = [], 0
     ends = [m.end() for m in BOUNDARY.finditer(text)]
@@ -43,24 +57,19 @@ def sentences(text: str, long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
         ends.append(len(text))
     for stop in ends:
         at, end = end, stop
-        if text.count(" ", at, end) < long_words:
-            found.append((at, end))
-            continue
-        begin, n = at, 0
-        for w in PIECE.finditer(text, at, end):
-            n += 1
-            if n >= 3 and zlib.crc32(w[0].strip().lower().encode()) % 6 == 0 and w.end() < end:
-                found.append((begin, w.end()))
-                begin, n = w.end(), 0
-        if begin < end:
-            found.append((begin, end))
+        words = list(PIECE.finditer(text, at, end))
+        for k in chosen([zlib.crc32(w[1].lower().encode()) for w in words], window) if len(words) >= window else ():
+            if words[k].end() < end:
+                found.append((at, words[k].end()))
+                at = words[k].end()
+        found.append((at, end))
     return found
 
 
 def spans(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, int, bool]]:
     """(first sentence, number of sentences, two hashes, whether the text had the span before) of every span."""
-    words = [text[a:b].encode().lower().split() for a, b in sentences(text)]
-    joined, counts, seen = [b" ".join(w) for w in words], list(map(len, words)), set()
+    words = [text[a:b].split() for a, b in sentences(text)]
+    joined, counts, seen = [" ".join(w).encode().lower() for w in words], list(map(len, words)), set()
     end, total = 0, 0
     for at in range(len(joined)):
         while end < len(joined) and (end - at < min_sentences or total < min_words):

@@ -333,6 +333,17 @@ def test_sentences_cover_the_text():
     assert len(one & two) >= len(one) - 2 > 3
 
 
+@pytest.mark.parametrize("space", [" ", "\n\t", "\u00a0"])
+def test_repeated_passages_of_fifty_words_share_a_span(space):
+    """Wherever they stand, with and without sentence ends, and whatever separates their words."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(VOCABULARY) + ("." if space == " " and rng.random() < rng.choice([0, 0.08]) else "")
+    for _ in range(300):
+        passage = [word() for _ in range(50)]
+        one, two = ({x[2:4] for x in substrings.spans(space.join([*(word() for _ in range(rng.randrange(40))), *passage, *(word() for _ in range(rng.randrange(40)))]))} for _ in range(2))
+        assert one & two
+
+
 def test_substrings_odd(spark):
     out = substrings.remove_repeats(odd(spark))
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, ODD)) or out.count() == len(ODD)
