@@ -9,7 +9,8 @@ node, keep it and decide each child, or drop its whole subtree.
 The model is trained here, on pages made by page_maker.py; it is a few kilobytes and is sent with the tasks.
 
 Defined results: a null or empty page, and one without text, gives empty text; markup that never ends is read to
-the end of the page; white space is str.split()'s; a line break inside a block is white space; unknown character
+the end of the page; svg, select, button, template, noscript and iframe are left out from their start to their end
+tag, or alone where they close themselves or have no end tag; white space is str.split()'s; a line break inside a block is white space; unknown character
 references stay as they are; rows that repeat give a row each. Only page_id, url and html are read.
 """
 
@@ -34,7 +35,9 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg select button".split())
+RAW = frozenset("script style textarea title xmp".split())
+#: Elements that are left out with what they hold, if they are closed.
+DROPPED = frozenset("iframe noembed noframes noscript template svg select button".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -77,7 +80,7 @@ class Node:
 
 @cache
 def kinds_of(value: str) -> tuple[int, ...]:
-    return tuple(sorted({k for t in TOKEN.findall(value[:400]) if (k := KIND_OF.get(t.lower())) is not None}))
+    return tuple(sorted({k for t in TOKEN.findall(value) if (k := KIND_OF.get(t.lower())) is not None}))
 
 
 def parse(html: str) -> list[Node]:
@@ -85,6 +88,8 @@ def parse(html: str) -> list[Node]:
     nodes = [Node("html", -1, (), False)]
     # the open elements: tag and its node (that of its parent for folded inline elements)
     open_: list[tuple[str, int]] = [("html", 0)]
+    # of the open elements that are dropped: their place in open_, and the nodes, parts and children there were before
+    undo: list[tuple[int, int, int, int]] = []
     links, at, n = 0, 0, len(html)
 
     def text(s: str) -> None:
@@ -98,6 +103,8 @@ def parse(html: str) -> list[Node]:
         nonlocal links
         links -= sum(t == "a" for t, _ in open_[k:])
         del open_[k:]
+        while undo and undo[-1][0] >= k:
+            undo.pop()
 
     while at < n:
         m = TAG.search(html, at)
@@ -113,7 +120,11 @@ def parse(html: str) -> list[Node]:
         if m[1]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == tag:
+                    before = [u for u in undo if u[0] == k]
+                    parent = nodes[open_[k][1]]
                     close(k)
+                    for _, n_nodes, n_parts, n_children in before:
+                        del nodes[n_nodes:], parent.parts[n_parts:], parent.children[n_children:]
                     break
             continue
         attributes = m[3] if m[3] is not None else m[4]
@@ -121,6 +132,12 @@ def parse(html: str) -> list[Node]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else n
             continue
+        if tag in DROPPED:
+            if not attributes.endswith("/"):
+                parent = nodes[open_[-1][1]]
+                undo.append((len(open_), len(nodes), len(parent.parts), len(parent.children)))
+                open_.append((tag, open_[-1][1]))
+            continue
         if tag in ("head", "html", "body") and tag != "body":
             continue
         if tag == "br" or tag in VOID:
@@ -131,12 +148,12 @@ def parse(html: str) -> list[Node]:
                 if open_[k][0] == "p":
                     close(k)
                     break
-                if open_[k][0] in BLOCK:
+                if open_[k][0] in BLOCK or open_[k][0] in DROPPED:
                     break
         if tag in IMPLIED:
             shut, stop = IMPLIED[tag]
             for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] in stop:
+                if open_[k][0] in stop or open_[k][0] in DROPPED:
                     break
                 if open_[k][0] in shut:
                     close(k)

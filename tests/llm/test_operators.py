@@ -61,6 +61,21 @@ def test_html_page():
     assert got == "A & B\nFirst line goes on here, <really>.\nShort.\nThe last paragraph of it, as long as the first one was."
 
 
+def test_html_dropped_elements():
+    model, lines = html_text.trained(), [f"The {k} paragraph of it, which is as long as any other one was here." for k in ("first", "second", "third", "last")]
+    page = lambda s: f"<html><body><article><p>{lines[0]}</p>{s}" + "".join(f"<p>{x}</p>" for x in lines[1:]) + "</article></body></html>"
+    closed = ["<svg viewBox='0 0 1 1'/>", "<iframe src='x' />", "<svg><title>T</title><path d='x'/><text>Icon</text></svg>", "<button class=ad><div>Buy</div></button>", "<select><option>A<option>B</select>", "<noscript><p>No</p><svg/></noscript>"]
+    for s in ["", *closed]:
+        assert list(html_text.extract([page(s)], model)) == ["\n".join(lines)]
+    for tag in sorted(html_text.DROPPED):
+        (got,) = html_text.extract([page(f"<{tag}>")], model)
+        assert all(x in got for x in lines)
+        # and one after it that is closed
+        assert all(any(x in p for n in html_text.parse(page(f"<{tag}>") + f"<{tag}>Gone</{tag}>") for p in n.parts if isinstance(p, str)) for x in lines)
+    long = "tw-x " * 200
+    assert html_text.parse(f"<div class='{long}sidebar' id=comments>x</div>")[1].kinds == html_text.parse("<div class=sidebar id=comments>x</div>")[1].kinds != ()
+
+
 def test_html_odd_pages(spark):
     pages = [None, "", "no markup", "<", "<p", "<!-- open", "<script>x", "<a title='>' href=\"x>y</a>", "</b></p>", "<table><tr><td>a<td>b<tr><td>c</table>", "<p>" * 3000 + "x"]
     df = spark.createDataFrame([(k, "u", h, 3) for k, h in enumerate(pages)], "page_id long, url string, html string, text int")
