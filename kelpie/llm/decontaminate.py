@@ -11,20 +11,24 @@ Scale: documents are never moved for the search. Benchmark hashes are broadcast
 diagonal) before their shuffle, and only documents with hits are read again for the comparison.
 
 Defined results: null and empty texts have no tokens and no overlaps; items of fewer than min_tokens tokens are
-no evidence; items shorter than the longest mask are also searched whole, with each one token left out (items of 10
-to 12 tokens with two substitutions are found where those leave a seed intact); rows that repeat both id and text are one document in
+no evidence; items of fewer than SURE tokens are also searched with those tokens left out whose substitution the share
+allows and no mask survives; rows that repeat both id and text are one document in
 the result; equal items (after lower-casing) are searched once and each gets its rows.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm.common import cut, sized, text_or_empty
 
 MASKS = ("1110000111", "110011011", "1101011001", "11110101")
-LONGEST = max(map(len, MASKS))
+#: So many tokens hold an intact seed whichever two of them are substituted.
+SURE = 13
 
 
 def tokens(text: Column) -> Column:
@@ -35,18 +39,26 @@ def seed(words: str, at: str, offsets: list[int], tag: int) -> Column:
     return F.xxhash64(F.lit(tag), *[F.expr(f"get({words}, {at} + {o})") for o in offsets])
 
 
-def seeds(rows: DataFrame, keep: list[str], short: list[int], whole: bool = False) -> DataFrame:
+def left_out(n: int, share: float) -> list[tuple[int, ...]]:
+    """The sets of tokens of an item of n that may differ at this share and leave no seed of a mask intact."""
+    places = [[o + k for k, c in enumerate(m) if c == "1"] for m in MASKS for o in range(n - len(m) + 1)]
+    return [gone for gone in combinations(range(n), n - math.ceil(n * share)) if not any(set(p).isdisjoint(gone) for p in places)]
+
+
+def seeds(rows: DataFrame, keep: list[str], short: list[int], share: float, whole: bool = False) -> DataFrame:
     """(keep, at, h): every window of the column words under every mask.
 
-    For each length in short also the windows of that length with one token left out; of whole rows, only those
-    that have just that length.
+    For each length in short also the windows of that length without each of the sets left_out(); of whole rows, only
+    those that have just that length. Windows are as wide as the tokens that are hashed, and at is the first of these.
     """
     at = rows.select(*keep, "words", F.size("words").alias("n"), F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at"))
     fits = lambda span: F.col("at") + span <= F.col("n")
     hashes = [F.when(fits(len(m)), seed("words", "at", [i for i, c in enumerate(m) if c == "1"], k)) for k, m in enumerate(MASKS)]
     for s in short:
-        own = fits(s) & (F.col("n") == s) if whole else fits(s)
-        hashes += [F.when(own, seed("words", "at", [i for i in range(s) if i != gone], 100 * s + gone)) for gone in range(s)]
+        for k, gone in enumerate(left_out(s, share)):
+            first, *others = [i for i in range(s) if i not in gone]
+            own = (F.col("n") == s) & (F.col("at") == first) if whole else fits((others or [first])[-1] - first + 1)
+            hashes.append(F.when(own, seed("words", "at", [0, *(i - first for i in others)], 1000 * s + k)))
     return at.select(*keep, "at", F.explode(F.array(*hashes)).alias("h")).where("h is not null")
 
 
@@ -56,14 +68,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: flo
     doc_start and item_start are the first aligned tokens, aligned their number, matched how many agree, best how
     many agree in the best stretch, needed how many had to.
     """
+    return found_overlaps(docs, benchmark, window, share, min_tokens, broadcast_rows, id_col, text_col).drop("th")
+
+
+def found_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, min_tokens: int = 5, broadcast_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same with th, the hash of the document's text."""
     items = benchmark.select(F.col("item_id"), tokens(text_or_empty("text")).alias("words")).where(F.size("words") >= min_tokens)
     classes = cut(items.groupBy("words").agg(F.min("item_id").alias("class_id"), F.collect_set("item_id").alias("item_ids")))
-    # at most LONGEST - min_tokens numbers
-    short = sorted(r[0] for r in classes.where(F.size("words") < LONGEST).select(F.size("words")).distinct().collect())
+    # at most SURE - min_tokens numbers
+    short = sorted(r[0] for r in classes.where(F.size("words") < SURE).select(F.size("words")).distinct().collect())
     train = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    keyed = train.select("doc_id", F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("words")).where(F.size("words") >= min_tokens)
-    asked = sized(cut(seeds(classes.select("class_id", "words").where(F.size("words") >= min_tokens), ["class_id"], short, whole=True).withColumnRenamed("at", "item_at")), broadcast_rows)
-    hits = seeds(keyed, ["doc_id", "th"], short).join(asked, "h").groupBy("doc_id", "th", "class_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits"))
+    keyed = train.select("doc_id", F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+    asked = sized(cut(seeds(classes.select("class_id", "words").where(F.size("words") >= min_tokens), ["class_id"], short, share, whole=True).withColumnRenamed("at", "item_at")), broadcast_rows)
+    hits = seeds(keyed, ["doc_id", "th"], short, share).join(asked, "h").groupBy("doc_id", "th", "class_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits"))
     # few documents have hits, as a rule: then their texts stay where they are
     return verify(sized(cut(hits), broadcast_rows // 8), train.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), "text"), classes, window, share)
 
@@ -88,10 +105,11 @@ def verify(hits: DataFrame, texts: DataFrame, classes: DataFrame, window: int, s
         F.max(F.struct("best", F.element_at("sums", -1).alias("matched"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"), "aligned", "needed")).alias("t")
     )
     named = top.join(classes.select("class_id", F.explode("item_ids").alias("item_id")), "class_id")
-    return named.select("doc_id", "item_id", (-F.col("t.d")).alias("doc_start"), (-F.col("t.i")).alias("item_start"), "t.aligned", "t.matched", "t.best", "t.needed")
+    return named.select("doc_id", "th", "item_id", (-F.col("t.d")).alias("doc_start"), (-F.col("t.i")).alias("item_start"), "t.aligned", "t.matched", "t.best", "t.needed")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all their columns, that overlap with no item."""
-    bad = cut(overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(sized(bad, 1_000_000), docs[id_col] == F.col("__bad"), "left_anti")
+    """The documents, all their columns, that overlap with no item. Rows are told apart by id, null or not, and text."""
+    found = found_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    bad = cut(found.select(F.col("doc_id").alias("__bad"), F.col("th").alias("__th")).distinct())
+    return docs.join(sized(bad, 1_000_000), docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("__th")), "left_anti")

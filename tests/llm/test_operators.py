@@ -194,6 +194,25 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(odd(spark), b).count() == 0
 
 
+def test_short_items_with_every_substitution(spark):
+    """Items of each short length, with any tokens changed or cut off that the share allows, and what removal takes."""
+    from itertools import combinations
+
+    docs, items = [], []
+    for n in range(5, 13):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for gone in combinations(range(n), n - math.ceil(n * 0.8)):
+            docs.append((1000 * n + len(docs), "before it " + " ".join("other" if k in gone else w for k, w in enumerate(item)) + " after"))
+        docs += [(1000 * n + len(docs), " ".join(item[1:])), (1000 * n + len(docs) + 1, " ".join(item[:-1]))]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert got == {(i, i // 1000) for i, _ in docs}
+    rows = [(None, items[0][1]), (None, "nothing of it is here at all"), (7, items[1][1]), (7, "nothing of it is here either"), (7, None)]
+    left = decontaminate.remove_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left))) == sorted(map(str, [rows[1], rows[3], rows[4]]))
+
+
 def test_seeds_hold_within_two_substitutions():
     from itertools import combinations
 
