@@ -151,7 +151,8 @@ def crawl(spark: SparkSession, pages: DataFrame, entry: str, config: CrawlConfig
                 used += max(0, reserved - many.count())
             ranked = ranked.where("single").unionByName(many)
         depth += 1
-        frontier = cut(ranked.select(F.col("to").alias("url"), F.lit(depth).alias("depth"), (F.col("place") * 4096 + F.col("ordinal") + 1).alias("place"), "canon"))
+        # numbers that grow along the sorted level: places do not grow with depth, and no two links share one
+        frontier = cut(ranked.orderBy("place", "ordinal").select(F.col("to").alias("url"), F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("place"), "canon"))
         known = cut(known.unionByName(frontier.select("canon")))
     empty = spark.createDataFrame([], "url string, depth int, place long, html string")
     visited = empty if visited is None else visited

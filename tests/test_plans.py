@@ -160,3 +160,14 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["s.com", "--pages", table, "-f", "json", "-o", str(tmp_path / "o")], spark) == 0
     assert json.loads(spark.read.text(str(tmp_path / "o")).first().value)["secret"] == AWS
     assert cli.main(["https://none.com", "--pages", table, "-f", "json"], spark) == 1
+
+
+def test_crawl_of_deep_and_wide_pages(spark):
+    """Places neither grow with the depth nor collide on pages with thousands of elements."""
+    site = {S if k == 0 else f"{S}p{k}": [f"/p{k + 1}"] for k in range(13)}
+    got = c.crawl(spark, pages(spark, site), S, c.CrawlConfig(user_agent=None)).visited.collect()
+    assert sorted(r.depth for r in got) == list(range(13))
+    # the first page's links come before the second's, however many elements it has
+    wide = spark.createDataFrame([(S, "<a href='/a'>a</a><a href='/b'>b</a>"), (f"{S}a", "<p>x</p>" * 5000 + "<a href='/y'>y</a><a href='/z'>z</a>"), (f"{S}b", "<a href='/v'>v</a><a href='/w'>w</a>"), (f"{S}y", ""), (f"{S}v", "")], "url string, html string")
+    crawled = c.crawl(spark, wide, S, c.CrawlConfig(user_agent=None, max_walks=4))
+    assert {r.url for r in crawled.visited.collect()} == {S, f"{S}a", f"{S}b", f"{S}y"}
