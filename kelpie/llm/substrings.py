@@ -11,7 +11,7 @@ document, then position) stays; a sentence covered by any other is removed.
 Scale: a text is cut and hashed once, with arrays over many texts. A task settles among its own spans which are not
 first, and sends the shard of a hash only one occurrence of it (one for each row, where rows share the smallest id),
 so a passage that very many documents share arrives once from each task. Shards answer with the places of what
-others have first; texts are moved only where too many change to send their places to all tasks.
+others have first, and these meet their texts in one shuffle join, whatever the size of the input.
 
 Defined results: null and empty texts have no sentences and stay as they are (null stays null); very long texts are
 cut whole, in memory in proportion to the text; rows with one id count as one document, whose rows do not remove each
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import cut, order_key, pack, pack_sorted, shards_for, sized, text_or_empty, to_batch, unpack, unpack_sorted
+from kelpie.llm.common import cut, order_key, pack, pack_sorted, shards_for, text_or_empty, to_batch, unpack, unpack_sorted
 
 #: A word after which a sentence ends.
 LAST = re.compile(r"[.!?…。！？][\"'”’)\]]*\Z")
@@ -284,23 +284,23 @@ def without(text: Column, covered: Column, min_sentences: int = MIN_SENTENCES, m
     return cut_out(text, covered)
 
 
-def covered_docs(docs: DataFrame, id_col: str, text_col: str, min_sentences: int, min_words: int, how: str, broadcast_bytes: int) -> DataFrame:
-    """(doc: the row, covered): the documents with what to remove."""
-    cover = sized(repeated(docs, id_col, text_col, min_sentences, min_words), broadcast_bytes)
+def covered_docs(docs: DataFrame, id_col: str, text_col: str, min_sentences: int, min_words: int, how: str) -> DataFrame:
+    """(doc: the row, covered): the documents with what to remove. Both sides are dealt by id and text hash."""
+    cover = repeated(docs, id_col, text_col, min_sentences, min_words)
     keyed = docs.select(F.struct("*").alias("doc"), order_key(docs, id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th"))
     return keyed.join(cover, ["doc_id", "th"], how).select("doc", "covered")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, broadcast_bytes: int = 1 << 26) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each document that loses sentences: id, n_removed, n_sentences, removed (spans), text (what stays)."""
-    hit = covered_docs(docs.select(id_col, text_col), id_col, text_col, min_sentences, min_words, "inner", broadcast_bytes)
+    hit = covered_docs(docs.select(id_col, text_col), id_col, text_col, min_sentences, min_words, "inner")
     cut_out = hit.select(F.col("doc")[id_col].alias(id_col), without(F.col("doc")[text_col], F.col("covered"), min_sentences, min_words).alias("r"))
     return cut_out.select(id_col, "r.n_removed", "r.n_sentences", "r.removed", F.col("r.kept").alias(text_col))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, broadcast_bytes: int = 1 << 26) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all their columns, with the repeated sentences taken out of the text."""
-    joined = covered_docs(docs, id_col, text_col, min_sentences, min_words, "left", broadcast_bytes)
+    joined = covered_docs(docs, id_col, text_col, min_sentences, min_words, "left")
     hit, text = F.col("covered").isNotNull(), F.col("doc")[text_col]
     # only texts that change go to Python
     changed = without(F.when(hit, text), F.col("covered"), min_sentences, min_words)["kept"]
