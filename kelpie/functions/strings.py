@@ -15,9 +15,11 @@ def byte_values(c: Column) -> Column:
 
 
 def byte_histogram(c: Column) -> Column:
-    """array<struct<byte, n>>: how often each byte occurs."""
-    values = byte_values(c)
-    return F.transform(F.array_sort(F.array_distinct(values)), lambda b: F.struct(b.alias("byte"), F.size(F.filter(values, lambda x: x == b)).alias("n")))
+    """array<struct<byte, n>>: how often each byte occurs, by sorting the bytes and telling where each begins."""
+    ordered = F.array_sort(byte_values(c))
+    n = F.size(ordered)
+    begins = F.filter(F.transform(ordered, lambda b, i: F.when((i == 0) | (F.get(ordered, i - 1) != b), i)), lambda i: i.isNotNull())
+    return F.transform(begins, lambda i, k: F.struct(F.get(ordered, i).alias("byte"), (F.coalesce(F.get(begins, k + 1), n) - i).alias("n")))
 
 
 def shannon_entropy(c: Column) -> Column:
@@ -45,14 +47,17 @@ def byte_prefix(source: Column, offset: Column) -> Column:
     return F.substring(source.cast("binary"), F.lit(1), offset.cast("int"))
 
 
+def latin_prefix(source: Column, offset: Column) -> Column:
+    """The first offset bytes with one character for each byte."""
+    return F.decode(byte_prefix(source, offset), "ISO-8859-1")
+
+
 def line_of(source: Column, offset: Column) -> Column:
-    """1-based line of a byte offset."""
-    prefix = F.hex(byte_prefix(source, offset))
-    return F.size(F.filter(F.regexp_extract_all(prefix, F.lit(".."), F.lit(0)), lambda b: b == "0A")) + 1
+    """1-based line of a byte offset: the line feeds before it are what their removal takes from the length."""
+    prefix = latin_prefix(source, offset)
+    return F.length(prefix) - F.length(F.replace(prefix, F.lit("\n"), F.lit(""))) + 1
 
 
 def column_of(source: Column, offset: Column) -> Column:
     """1-based column, in bytes, of a byte offset."""
-    # bytes after the last line feed; Latin-1 keeps one character for each byte
-    prefix = F.decode(byte_prefix(source, offset), "ISO-8859-1")
-    return F.length(F.substring_index(prefix, "\n", -1)) + 1
+    return F.length(F.substring_index(latin_prefix(source, offset), "\n", -1)) + 1

@@ -494,12 +494,21 @@ class Reader:
 
     def postfix(self) -> None:
         mark = len(self.out)
-        made = self.at("new")
-        if made:
+        made = 0
+        if self.at("new"):
             while self.eat("new"):
+                made += 1
                 if self.at("."):
+                    # new.target is a value of its own
+                    self.next()
+                    if self.next().text != "target":
+                        raise ScriptError(f"target is missing at {self.token.start}")
+                    made -= 1
                     break
-        self.primary()
+            else:
+                self.primary()
+        else:
+            self.primary()
         while True:
             if self.at(".") or self.at("?."):
                 self.next()
@@ -519,7 +528,7 @@ class Reader:
                 if made:
                     # the arguments of new keep the name
                     self.arguments()
-                    made = False
+                    made -= 1
                 else:
                     self.call(mark)
             elif self.token.kind == "template":

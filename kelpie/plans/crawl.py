@@ -1,6 +1,6 @@
-"""Crawling as breadth-first levels over a table of pages.
+"""Crawling as breadth-first levels, over a table of pages or over the web.
 
-Each level is one plan: the frontier is joined with the pages, their links are read, and links to allowed hosts
+Each level is one plan: the frontier is joined with the pages, or fetched, their links are read, and links to allowed hosts
 whose canonical URL was not seen become the next frontier. Seen URLs and frontiers are tables cut by reliable
 checkpoints; the driver holds counters only.
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import urls
 from kelpie.operators import dom
-from kelpie.sources.rules import random_user_agent
+from kelpie.sources import web
+from kelpie.sources.web import random_user_agent
 
 #: Headers sent with every request, after the user agent.
 HEADERS = (
@@ -84,54 +85,112 @@ class CrawlConfig:
     def with_cookie_jar(self, on: bool) -> CrawlConfig:
         return replace(self, store_cookies=on)
 
+    def with_headers_for_scripts(self, on: bool) -> CrawlConfig:
+        return replace(self, headers_for_scripts=on)
+
+    def requests(self) -> web.Requests:
+        """How pages are fetched."""
+        return web.Requests(tuple(self.all_headers()), self.timeout, self.timeout_connect, self.store_cookies)
+
+    def script_requests(self) -> web.Requests:
+        """How scripts are fetched: with the user agent, and with the other headers only if headers_for_scripts is set."""
+        agent = (("User-Agent", self.user_agent),) if self.user_agent else ()
+        return web.Requests(tuple(self.all_headers()) if self.headers_for_scripts else agent, self.timeout, self.timeout_connect)
+
     def with_close_channel(self, on: bool) -> CrawlConfig:
         return replace(self, close_channel_when_done=on)
 
 
 @dataclass(frozen=True)
 class Crawl:
+    """visited: url, depth, place, html; scripts of these; errors; seen: canonical URLs; succeeded: whether the walk
+    gives no error; done: whether the end of the walk is to be told."""
+
     visited: DataFrame
     scripts: DataFrame
     errors: DataFrame
     seen: DataFrame
     succeeded: bool
+    done: bool
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names, or a temporary one where it names none."""
+    """A reliable checkpoint in the folder the session names, or in local mode a temporary one where it names none."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kelpie-crawl-"))
     return df.checkpoint()
 
 
-def crawl(spark: SparkSession, pages: DataFrame, entry: str, config: CrawlConfig | None = None, seen: DataFrame | None = None) -> Crawl:
-    """visited: url, depth, place; scripts: of the visited pages, remote ones once; errors: pages that are missing.
+class Gathered:
+    """Tables of the levels as one; every few levels they are written together, so plans stay small."""
+
+    def __init__(self, empty: DataFrame, every: int = 16) -> None:
+        self.table, self.every, self.n = empty, every, 0
+
+    def add(self, level: DataFrame) -> None:
+        self.table, self.n = self.table.unionByName(level), self.n + 1
+        if self.n % self.every == 0:
+            self.table = cut(self.table)
+
+
+ERROR = "stage string, kind string, url string, detail string"
+
 
-    pages: url, html and perhaps content_type. seen: canonical URLs visited before (a shared cache); the result's
-    seen holds these and the new ones.
+def read_level(frontier: DataFrame, pages: DataFrame | None, config: CrawlConfig) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The pages of a frontier (url, depth, place, html), the errors of the others, and cookies by host if they are kept."""
+    if pages is not None:
+        body = pages.select(F.col("url").alias("page"), "html")
+        level = frontier.join(body, F.col("url") == F.col("page"), "left")
+        got = cut(level.where("html is not null").select("url", "depth", "place", "html"))
+        return got, frontier.join(got.select("url"), "url", "left_anti").select(F.lit("walk").alias("stage"), F.lit("WalkFailed").alias("kind"), "url", F.lit("no page").alias("detail")), None
+    # a checkpoint: every URL is fetched once
+    answers = cut(web.fetched(frontier, config.requests()))
+    got = answers.where(web.is_page()).select("url", "depth", "place", F.coalesce("body", F.lit("")).alias("html"))
+    cookies = None
+    if config.store_cookies:
+        cookies = answers.where("cookies is not null").groupBy(urls.host(F.col("url")).alias("host")).agg(F.max_by("cookies", "place").alias("cookie"))
+    return got, web.fetch_errors(answers).drop("status"), cookies
+
+
+def crawl(spark: SparkSession, pages: DataFrame | None, entry: str, config: CrawlConfig | None = None, seen: DataFrame | None = None) -> Crawl:
+    """visited: the pages read; scripts: theirs, remote ones once; errors: pages that are missing.
+
+    pages: url, html and perhaps content_type; without them the frontiers are fetched, level by level, with the
+    configured headers, times and cookies. seen: canonical URLs visited before (a shared cache); the result's seen holds
+    these and the new ones.
     """
     config = config or CrawlConfig()
     start = urls.entry_url(entry)
     parts = urlsplit(start)
     root, allowed = f"{parts.scheme}://{parts.netloc}/", sorted({*config.whitelist, parts.hostname})
-    table = pages.where(F.col("content_type").isNull() | F.contains("content_type", F.lit("html"))) if "content_type" in pages.columns else pages
-    frontier = spark.range(1).select(F.lit(start).alias("url"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), urls.canonical(F.lit(start)).alias("canon"))
-    known = seen.select("canon") if seen is not None else spark.createDataFrame([], "canon string")
+    table = pages
+    if pages is not None and "content_type" in pages.columns:
+        table = pages.where(F.col("content_type").isNull() | F.contains("content_type", F.lit("html")))
+    none = F.lit(None)
+    frontier = spark.range(1).select(F.lit(start).alias("url"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), urls.canonical(F.lit(start)).alias("canon"), none.cast("long").alias("parent"), none.cast("long").alias("links"))
+    known = seen.select("canon") if seen is not None else no_cache(spark)
     frontier = cut(frontier.join(known, "canon", "left_anti"))
-    known = cut(known.unionByName(frontier.select("canon")))
-    visited, missing, used, depth = None, None, 0, 0
+    known = Gathered(cut(known.unionByName(frontier.select("canon"))))
+    visited, lost = Gathered(spark.createDataFrame([], "url string, depth int, place long, html string")), Gathered(spark.createDataFrame([], ERROR))
+    tried = Gathered(spark.createDataFrame([], "depth int, place long, parent long, links long, read boolean"))
+    cookies: DataFrame | None = None
+    used, depth = 0, 0
     while True:
         asked = frontier.count()
         used += asked
         if not asked or depth > config.max_depth:
             break
-        body = table.select(F.col("url").alias("__u"), "html")
-        level = frontier.join(body, F.col("url") == F.col("__u"), "left").drop("__u")
-        got = cut(level.where("html is not null").select("url", "depth", "place", "html"))
-        lost = frontier.join(got.select("url"), "url", "left_anti").select(F.lit("walk").alias("stage"), F.lit("WalkFailed").alias("kind"), "url", F.lit("no page").alias("detail"))
-        visited = got if visited is None else visited.unionByName(got)
-        missing = lost if missing is None else missing.unionByName(lost)
+        if cookies is not None:
+            frontier = frontier.withColumn("host", urls.host(F.col("url"))).join(cookies, "host", "left").drop("host")
+        got, missing, given = read_level(frontier, table, config)
+        if given is not None:
+            cookies = cut(given if cookies is None else given.unionByName(cookies.join(given, "host", "left_anti")))
+        visited.add(got)
+        lost.add(missing.select("stage", "kind", "url", "detail"))
+        tried.add(frontier.join(got.select("place", F.lit(True).alias("found")), "place", "left").select("depth", "place", "parent", "links", F.coalesce("found", F.lit(False)).alias("read")))
         left = None if config.max_walks is None else config.max_walks - used
         links = got.select("url", "place", F.explode(dom.elements(F.col("html"))).alias("e")).where("e.kind = 'link'")
         href = F.regexp_replace("e.href", r"^\s+|\s+$", "")
@@ -139,7 +198,7 @@ def crawl(spark: SparkSession, pages: DataFrame, entry: str, config: CrawlConfig
         found = found.withColumn("to", urls.resolve(F.lit(root), F.col("href"))).where("to is not null").where(urls.is_page_path(F.col("to")))
         found = cut(found.select("url", "place", "ordinal", F.col("to"), urls.canonical(F.col("to")).alias("canon"), F.count(F.lit(1)).over(Window.partitionBy("url", "place")).alias("n")))
         single = F.lit(False) if config.strict_single_link else F.col("n") == 1
-        open_ = found.where(single | urls.host(F.col("to")).isin(*allowed)).join(known, "canon", "left_anti")
+        open_ = found.where(single | urls.host(F.col("to")).isin(*allowed)).join(known.table, "canon", "left_anti")
         first = open_.groupBy("canon").agg(F.min(F.struct("place", "ordinal", "to", "n")).alias("m")).select("canon", "m.*")
         ranked = first.withColumn("single", single)
         if left is not None:
@@ -152,22 +211,54 @@ def crawl(spark: SparkSession, pages: DataFrame, entry: str, config: CrawlConfig
             ranked = ranked.where("single").unionByName(many)
         depth += 1
         # numbers that grow along the sorted level: places do not grow with depth, and no two links share one
-        frontier = cut(ranked.orderBy("place", "ordinal").select(F.col("to").alias("url"), F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("place"), "canon"))
-        known = cut(known.unionByName(frontier.select("canon")))
-    empty = spark.createDataFrame([], "url string, depth int, place long, html string")
-    visited = empty if visited is None else visited
-    scripts = dom.page_scripts(dom.extract_dom(visited))
-    lost = missing if missing is not None else spark.createDataFrame([], "stage string, kind string, url string, detail string")
-    return Crawl(visited.drop("html"), dom.distinct_scripts(scripts), lost, known, not visited.isEmpty())
+        ordered = ranked.orderBy("place", "ordinal")
+        frontier = cut(ordered.select(F.col("to").alias("url"), F.lit(depth).alias("depth"), F.monotonically_increasing_id().alias("place"), "canon", F.col("place").alias("parent"), F.col("n").alias("links")))
+        known.add(frontier.select("canon"))
+    scripts = dom.page_scripts(dom.extract_dom(visited.table))
+    return Crawl(visited.table, dom.distinct_scripts(scripts), lost.table, known.table, walk_succeeded(cut(tried.table), depth), config.close_channel_when_done)
+
+
+def no_cache(spark: SparkSession) -> DataFrame:
+    """A cache of seen URLs with none in it: what clears a shared one."""
+    return spark.createDataFrame([], "canon string")
+
+
+def walk_succeeded(tried: DataFrame, depth: int) -> bool:
+    """Whether the entry's walk gives no error.
+
+    A page's walk fails if its only link can't be read or fails in its turn, or if it has several links of which some
+    were read and the walks of all these fail. tried: of each link that was followed its page's place and links.
+    """
+    if tried.where("depth = 0 and read").isEmpty():
+        return False
+    # failures begin at pages' only links that could not be read
+    if tried.where("links = 1 and not read").isEmpty():
+        return True
+    failed = tried.where(F.lit(False)).select("place")
+    for d in range(depth, 0, -1):
+        level = tried.where(F.col("depth") == d).join(failed.withColumn("bad", F.lit(True)), "place", "left")
+        bad = F.coalesce("bad", F.lit(False))
+        by_page = level.groupBy("parent").agg(F.max("links").alias("links"), F.sum(F.col("read").cast("int")).alias("n"), F.sum((F.col("read") & bad).cast("int")).alias("n_bad"))
+        failed = cut(by_page.where("(links = 1 and (n = 0 or n_bad = n)) or (links > 1 and n > 0 and n_bad = n)").select(F.col("parent").alias("place")))
+    return failed.isEmpty()
+
+
+def crawl_many(spark: SparkSession, pages: DataFrame | None, entries: list[str], config: CrawlConfig | None = None) -> list[Crawl]:
+    """One crawl after the other, with one cache of seen URLs."""
+    done: list[Crawl] = []
+    for entry in entries:
+        done.append(crawl(spark, pages, entry, config, done[-1].seen if done else None))
+    return done
 
 
 def depths(edges: DataFrame, start: str, max_depth: int = 100) -> DataFrame:
     """url and its least number of links from start, over edges (src, dst): recursion in SQL."""
-    edges.createOrReplaceTempView("__edges")
     return edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(url, depth) AS (
-              SELECT '{start}', 0 UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN __edges e ON e.src = w.url WHERE w.depth < {int(max_depth)}
-            ) SELECT url, min(depth) AS depth FROM walk GROUP BY url"""
+        """WITH RECURSIVE walk(url, depth) AS (
+              SELECT :start, 0 UNION ALL SELECT e.dst, w.depth + 1 FROM walk w JOIN {edges} e ON e.src = w.url WHERE w.depth < :most
+            ) SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
+        args={"start": start, "most": int(max_depth)},
+        edges=edges,
     )
 
 

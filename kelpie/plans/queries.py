@@ -7,6 +7,7 @@ import re
 import re._parser as sre
 from collections.abc import Callable
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from kelpie.operators import detect, dom, jslex
 from kelpie.plans import crawl as crawling
 from kelpie.plans import scan
 from kelpie.report import reports
-from kelpie.sources.rules import Rule, default_rules, rules_df
+from kelpie.sources.rules import Rule, compile_rule, default_rules, rules_df
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,17 +44,28 @@ def embedded_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def script_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scripts = dom.page_scripts(dom.extract_dom(table(spark, sf_dir, "pages")))
+    scripts = dom.page_scripts(dom.extract_dom(keyed_pages(spark, sf_dir)))
     return jslex.script_literals(jslex.with_literals(scripts)).select("page_url", "literal", "literal_kind", "value", "key_name", "span_start", "span_end")
 
 
+def keyed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, every fifth with a script more that holds a made key, a made token and a harmless text."""
+    own = F.col("page_id").cast("string")
+    script = F.concat(
+        F.lit("<script>\nvar plain = 1;\nconst key"), own, F.lit(' = "AKIA'), F.upper(F.substring(F.md5(own.cast("binary")), 1, 16)),
+        F.lit('",\n  token = "'), F.md5(F.concat(F.lit("t"), own).cast("binary")), F.lit('", colour = "red";\n</script>'),
+    )
+    return table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 5 == 0, F.concat("html", script)).otherwise(F.col("html")))
+
+
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan.scan_pages(table(spark, sf_dir, "pages")).findings
+    """From pages to findings."""
+    found = scan.scan_pages(keyed_pages(spark, sf_dir)).findings
     return found.select("script_url", "rule_id", "key_name", "secret", "line", "column")
 
 
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan_pages(table(spark, sf_dir, "pages")).summary()
+    return scan.scan_pages(keyed_pages(spark, sf_dir)).summary()
 
 
 def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +224,23 @@ def synthetic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("case_id", "rule_idx", "rule_id", "group_idx", "secret", "start", "end")
 
 
+#: Patterns, and literals with the places of their groups told by hand: rule, value, then group, start, secret.
+PLACES = (
+    ("(?:ab)=([a-z]+);(ab)", "ab=qq;ab", ((0, 0, "ab=qq;ab"), (1, 3, "qq"), (2, 6, "ab"))),
+    ("(a)|(b+)c", "..bbc a", ((0, 2, "bbc"), (2, 2, "bb"))),
+    ("x(?:([0-9])-)+", "x1-2-1-", ((0, 0, "x1-2-1-"), (1, 5, "1"))),
+    ("([a-z])([a-z])=([a-z])", "zz zy=z", ((0, 3, "zy=z"), (1, 3, "z"), (2, 4, "y"), (3, 6, "z"))),
+    ("k( +)(k)", "k  k", ((0, 0, "k  k"), (2, 3, "k"))),
+    ("((s)t)", "st", ((0, 0, "st"), (2, 0, "s"))),
+)
+
+
+def capture_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [r for k, (p, _, _) in enumerate(PLACES) if (r := compile_rule(k, {"id": f"rule{k}", "description": "", "regex": p}))]
+    rows = values(spark, [(k, v) for k, (_, v, _) in enumerate(PLACES)], "case_id int, value string").withColumn("key_name", F.lit(None).cast("string"))
+    return detect.detect(rows, rules, span_start=None).where("case_id = rule_idx").select("case_id", "group_idx", "start", "end", "secret")
+
+
 # crawling
 
 EDGES = tuple((f"https://site.example/{a}", f"https://site.example/{b}") for a, b in ("ab", "ac", "bd", "cd", "de", "ea", "ef", "fg", "xg", "gb"))
@@ -239,11 +268,18 @@ def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawling.crawl(spark, linked_site(spark), EDGES[0][0], crawling.CrawlConfig(user_agent=None)).visited.select("url", "depth")
 
 
+def crawl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site whose pages lead to one another in a row of forty, each by way of its second link."""
+    body = lambda k: f'<a href="/p{k}">this</a><a href="/p{k + 1}">next</a>'
+    site = values(spark, [(f"https://row.example/p{k}", body(k)) for k in range(40)], "url string, html string")
+    return crawling.crawl(spark, site, "https://row.example/p0", crawling.CrawlConfig(user_agent=None)).visited.select("url", "depth")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         dom_elements, page_links, embedded_scripts, script_literals, page_findings, page_summary, canonical_urls, url_dedup, whitelisted_pages, skip_scripts, doc_assignments, entropy,
-        rule_hits, findings, findings_by_rule, distinct_secrets, positions, redacted, json_report, graphical_report, rule_table, synthetic_findings, crawl_depth, budgeted_frontier, crawl_site,
+        rule_hits, findings, findings_by_rule, distinct_secrets, positions, redacted, json_report, graphical_report, rule_table, synthetic_findings, capture_places, crawl_depth, budgeted_frontier, crawl_site, crawl_chain,
     )
 }
 
@@ -268,6 +304,13 @@ KEPT = f"""list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\
 LINKS = """l AS (SELECT page_id, url, hrefs[i] AS href, i FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS i
     FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages)))"""
 SCRIPTS = """s AS (SELECT url AS page_url, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS source FROM pages)"""
+#: The scripts of keyed_pages, and their assigned texts with the places of the quotes.
+KEYED = """keyed AS (SELECT url, CASE WHEN page_id % 5 = 0 THEN html || '<script>' || chr(10) || 'var plain = 1;' || chr(10) || 'const key' || page_id || ' = "AKIA' || upper(left(md5(page_id::VARCHAR), 16))
+    || '",' || chr(10) || '  token = "' || md5('t' || page_id) || '", colour = "red";' || chr(10) || '</script>' ELSE html END AS html FROM pages),
+  s AS (SELECT url AS page_url, k, trim(b[k], ' ' || chr(9) || chr(10) || chr(13)) AS source FROM (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM (SELECT url, regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1) AS b FROM keyed))),
+  t AS (SELECT page_url, k, source, n[i] AS key_name, v[i] AS value, i - 1 AS literal FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i
+    FROM (SELECT *, regexp_extract_all(source, '([A-Za-z_$][A-Za-z0-9_$]*) *= *"([^"]*)"', 1) AS n, regexp_extract_all(source, '([A-Za-z_$][A-Za-z0-9_$]*) *= *"([^"]*)"', 2) AS v FROM s))),
+  a AS (SELECT *, strlen(split_part(source, '"' || value || '"', 1)) AS span_start FROM t)"""
 
 
 def sql_assignments() -> str:
@@ -281,15 +324,32 @@ def sql_assignments() -> str:
     return "a AS (" + " UNION ALL ".join(each) + ")"
 
 
-def sql_findings(rows: str, keys: str) -> str:
-    """CTE f: findings of a(keys, value, key_name); start counts from the value's first byte."""
+def made_places() -> str:
+    """For SQL, which tells no places of groups: case, rule, group and start of the made literals' matches, by Python's engine."""
+    rows = []
+    for r in default_rules():
+        java = r.value_re
+        pattern = regex.compile(java.replace("(?iu)", "").replace("(?U)", "").replace(r"\z", r"\Z"), regex.V1 | (regex.IGNORECASE if "(?iu)" in java else 0))
+        for case, value, _, _ in made_literals():
+            if m := pattern.search(value):
+                rows += [(case, r.rule_idx, g, m.start(g)) for g in range(min(10, len(m.groups()) + 1)) if m[g]]
+    return "places(case_id, rule_idx, group_idx, start) AS (VALUES " + ", ".join(map(str, rows)) + ")"
+
+
+def sql_findings(rows: str, keys: str, places: str = "") -> str:
+    """CTE f: findings of a(keys, value, key_name); start counts from the value's first byte.
+
+    Without a table of places, a group stands where its text stands first in the match: so it is for all but patterns
+    that hold a group's text twice.
+    """
+    start, join = "strpos(value, whole) + strpos(whole, secret) - 2", "JOIN places USING (case_id, rule_idx, group_idx)" if places else ""
     groups = " UNION ALL ".join(
         f"SELECT {keys}, value, rule_idx, rule_id, description, min_entropy, {g} AS group_idx, regexp_extract(value, value_re, {g}) AS secret, regexp_extract(value, value_re, 0) AS whole FROM h WHERE n_groups >= {g}"
         for g in range(10)
     )
-    return f"""{rows}, {sql_rules()},
+    return f"""{rows}, {sql_rules()},{places and " " + places + ","}
   h AS (SELECT a.*, rules.* FROM a JOIN rules ON regexp_matches(a.value, rules.value_re) AND (rules.name_re IS NULL OR coalesce(regexp_matches(a.key_name, rules.name_re), false))),
-  g AS (SELECT *, strpos(value, whole) + strpos(whole, secret) - 2 AS start FROM ({groups}) WHERE trim(secret) <> ''),
+  g AS (SELECT *{"" if places else f", {start} AS start"} FROM ({groups}) {join} WHERE trim(secret) <> ''),
   d AS (SELECT *, lag(start) OVER w AS s0, lag(secret) OVER w AS t0 FROM g WINDOW w AS (PARTITION BY {keys}, rule_idx ORDER BY group_idx)),
   f AS (SELECT d.*, start + strlen(secret) AS "end" FROM d WHERE (s0 IS NULL OR s0 <> start OR t0 <> secret)
     AND (NOT starts_with(rule_id, 'generic') OR regexp_matches(secret, '[0-9]'))
@@ -298,8 +358,10 @@ def sql_findings(rows: str, keys: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     found = sql_findings(sql_assignments(), "doc_id, literal, key_name")
+    pages_found = sql_findings(KEYED, "page_url, k, literal, source, span_start, key_name")
+    places = ", ".join(f"({k}, {g}, {at}, {quoted(secret)})" for k, (_, _, groups) in enumerate(PLACES) for g, at, secret in groups)
     made = ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in made_literals())
-    synthetic = sql_findings(f"a(case_id, value, key_name, span_start) AS (VALUES {made})", "case_id, key_name, span_start")
+    synthetic = sql_findings(f"a(case_id, value, key_name, span_start) AS (VALUES {made})", "case_id, key_name, span_start", made_places())
     edges = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in EDGES)
     walk = f"""WITH RECURSIVE e(src, dst) AS (VALUES {edges}), walk(url, depth) AS (
         SELECT {quoted(EDGES[0][0])}, 0 UNION ALL SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.url WHERE depth < 12
@@ -310,9 +372,13 @@ def oracle_sql() -> dict[str, str]:
         "page_links": f"""WITH {LINKS} SELECT url AS page_url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*') || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url, count(*) AS n
           FROM l GROUP BY ALL""",
         "embedded_scripts": f"WITH {SCRIPTS} SELECT page_url, 'embedded' AS kind, trim(source) AS source FROM s WHERE trim(source) <> ''",
-        "script_literals": f"""WITH {SCRIPTS} SELECT page_url, 0 AS literal, 'string' AS literal_kind, regexp_extract(source, '"([^"]*)"', 1) AS value, 't' AS key_name,
-          strpos(source, '"') - 1 AS span_start, strpos(source, '"') + strlen(regexp_extract(source, '"([^"]*)"', 1)) + 1 AS span_end FROM s""",
-        "page_summary": f"WITH {SCRIPTS} SELECT 0::BIGINT AS keys_found, (SELECT count(*) FROM s) AS scripts_checked, (SELECT count(*) FROM pages) AS pages_crawled",
+        "script_literals": f"""WITH {KEYED} SELECT page_url, literal::INTEGER AS literal, 'string' AS literal_kind, value, key_name, span_start::INTEGER AS span_start,
+          (span_start + strlen(value) + 2)::INTEGER AS span_end FROM a""",
+        "page_findings": f"""WITH {pages_found}, q AS (SELECT *, left(source, (span_start + start)::INTEGER) AS p FROM f)
+          SELECT page_url AS script_url, rule_id, key_name, secret, (len(p) - len(replace(p, chr(10), '')) + 1)::INTEGER AS line, (len(string_split(p, chr(10))[-1]) + 1)::INTEGER AS "column" FROM q""",
+        "page_summary": f"WITH {pages_found} SELECT (SELECT count(DISTINCT secret) FROM f) AS keys_found, (SELECT count(*) FROM s WHERE source <> '') AS scripts_checked, (SELECT count(*) FROM pages) AS pages_crawled",
+        "capture_places": f"""SELECT case_id::INTEGER AS case_id, group_idx::INTEGER AS group_idx, start::INTEGER AS start, (start + strlen(secret))::INTEGER AS "end", secret FROM (VALUES {places}) t(case_id, group_idx, start, secret)""",
+        "crawl_chain": "SELECT 'https://row.example/p' || k AS url, k::INTEGER AS depth FROM range(40) t(k)",
         "canonical_urls": f"""SELECT page_id, {CANON} AS canon, {HOST} AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^/]*//[^/?#]*') || '/' AS root
           FROM (SELECT *, {KEPT} AS kept FROM pages)""",
         "url_dedup": f"SELECT DISTINCT {CANON} AS canon FROM (SELECT *, {KEPT} AS kept FROM pages)",

@@ -82,17 +82,26 @@ def findings_by_rule(findings: DataFrame) -> DataFrame:
 #: An assignment of a quoted string in free text: the name, then the string in either kind of quotes.
 DOUBLE = r'([A-Za-z_$][A-Za-z0-9_$]*)\s*[=:]\s*"([^"\n]*)"'
 SINGLE = r"([A-Za-z_$][A-Za-z0-9_$]*)\s*[=:]\s*'([^'\n]*)'"
+#: The same without backtracking: a name is tried at the beginning of its run of characters only.
+ONCE = r"(?<![A-Za-z0-9_$])[0-9]*+([A-Za-z_$][A-Za-z0-9_$]*+)\s*+[=:]\s*+Q([^Q\n]*+)Q"
 
 
 def text_assignments(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, literal (its place), quote, key_name, value: assignments of quoted strings in free text."""
-    def found(kind: str, pattern: str, q: int) -> Column:
-        names, values = (F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(g)) for g in (1, 2))
-        pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
-        return F.transform(pairs, lambda s, i: F.struct((i * 2 + q).alias("literal"), F.lit(kind).alias("quote"), s["n"].alias("key_name"), s["v"].alias("value")))
-
-    each = [found("double", DOUBLE, 0), found("single", SINGLE, 1)]
-    return docs.select(id_col, F.explode(F.concat(*each)).alias("a")).select(id_col, "a.*")
+    """id, literal (its place), quote, key_name, value: assignments of quoted strings in free text.
+
+    Only texts with a quote after a sign are searched for names, once for each kind of quotes; what is found, which is
+    short, is then taken apart.
+    """
+
+    def found(kind: str, mark: str, q: int) -> Column:
+        pattern = ONCE.replace("Q", mark)
+        whole = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        some = F.when(F.rlike(F.col(text), F.lit(rf"[=:]\s*+{mark}")), whole).otherwise(F.array().cast("array<string>"))
+        part = lambda x, g: F.regexp_extract(x, pattern, g)
+        return F.transform(some, lambda x, i: F.struct((i * 2 + q).alias("literal"), F.lit(kind).alias("quote"), part(x, 1).alias("key_name"), part(x, 2).alias("value")))
+
+    each = F.concat(found("double", '"', 0), found("single", "'", 1))
+    return docs.select(F.col(id_col), each.alias("each")).where(F.size("each") > 0).select(id_col, F.explode("each").alias("a")).select(id_col, "a.*")
 
 
 def scan_text(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -49,12 +49,19 @@ def shows_source(source: Column, line: Column) -> Column:
     return F.octet_length(line_text(source, line)) + F.when(line > 1, 1).otherwise(0) <= LONGEST_LINE
 
 
-def snippet(source: Column, line: Column) -> Column:
-    """Three lines either side, each with its number."""
+#: JavaScript's words that are coloured, where an even number of double quotes follows in the line.
+WORDS = r"\b(const|let|var|function|return|new|if|else|for|while|class|import|export|async|await)\b(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+COLOURED = "\x1b[35m$1\x1b[0m"
+
+
+def snippet(source: Column, line: Column, colours: bool = False) -> Column:
+    """Three lines either side, each with its number; with colours, JavaScript's words stand out on a terminal."""
     lines = F.split(source, "\n")
     begin = F.greatest(line - CONTEXT, F.lit(1))
     part = F.slice(lines, begin, F.least(line + CONTEXT, F.size(lines)) - begin + 1)
-    return F.array_join(F.transform(part, lambda s, i: F.concat(F.lit("  "), (begin + i).cast("string"), F.lit(" "), F.regexp_replace(s, "\r$", ""))), "\n")
+    plain = lambda s: F.regexp_replace(s, "\r$", "")
+    shown_line = (lambda s: F.regexp_replace(plain(s), WORDS, COLOURED)) if colours else plain
+    return F.array_join(F.transform(part, lambda s, i: F.concat(F.lit("  "), (begin + i).cast("string"), F.lit(" "), shown_line(s))), "\n")
 
 
 def data_table(redacted: bool) -> Column:
@@ -69,11 +76,11 @@ def data_table(redacted: bool) -> Column:
     return F.concat_ws("\n", *[F.concat(F.lit("   " + name), value) for name, value in rows])
 
 
-def graphical(findings: DataFrame, redacted: bool = False, source: str | None = None) -> DataFrame:
+def graphical(findings: DataFrame, redacted: bool = False, source: str | None = None, colours: bool = False) -> DataFrame:
     """A text for each finding in the column value: header, place, the source's lines if given and short, a table."""
     parts = [header(), subheader(redacted)]
     if source is not None:
-        parts.append(F.when(shows_source(F.col(source), F.col("line")), F.concat(F.lit("\n"), snippet(F.col(source), F.col("line")))))
+        parts.append(F.when(shows_source(F.col(source), F.col("line")), F.concat(F.lit("\n"), snippet(F.col(source), F.col("line"), colours))))
     return findings.select(F.concat_ws("\n", *parts, F.lit(""), data_table(redacted), F.lit("")).alias("value"))
 
 
@@ -92,10 +99,7 @@ def exit_code(errors: DataFrame) -> int:
 
 @dataclass
 class Reporter:
-    """Hands findings to a sink and keeps the counts of what went through it.
-
-    graphical() leaves redaction out as its default; redaction is applied where a writer is given.
-    """
+    """Hands findings to a sink and keeps the counts of what went through it."""
 
     sink: Sink
     redacted: bool = False
@@ -104,8 +108,13 @@ class Reporter:
     pages_crawled: int = 0
 
     def report(self, findings: DataFrame) -> None:
-        self.keys_found = findings.agg(F.count_distinct("secret")).first()[0]
-        self.sink(findings)
+        """The findings are computed once, for the sink and for the count of distinct secrets."""
+        kept = findings.persist()
+        try:
+            self.sink(kept)
+            self.keys_found = kept.agg(F.count_distinct("secret")).first()[0]
+        finally:
+            kept.unpersist()
 
     def record_scripts_checked(self, n: int) -> None:
         self.scripts_checked += n
@@ -119,12 +128,13 @@ def json_reporter(path: str) -> Reporter:
 
 
 def graphical_reporter(path: str | None = None, redacted: bool = False) -> Reporter:
-    """To a folder of text files, or to the console, where at most 1,000 findings are printed."""
-    if path is not None:
-        return Reporter(lambda findings: graphical(findings, redacted).write.mode("append").text(path), redacted)
+    """To a folder of text files, or to the console, where all findings are printed, a partition at a time."""
 
     def show(findings: DataFrame) -> None:
-        for row in graphical(findings, False).limit(1000).toLocalIterator():
+        for row in graphical(findings, redacted).toLocalIterator():
             print(row.value)
 
-    return Reporter(show)
+    def write(findings: DataFrame) -> None:
+        graphical(findings, redacted).write.mode("append").text(path)
+
+    return Reporter(show if path is None else write, redacted)

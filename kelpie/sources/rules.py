@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import logging
-import random
+import re
 import re._parser as sre
 import tomllib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from importlib import resources
 from pathlib import Path
 
@@ -17,12 +19,15 @@ log = logging.getLogger(__name__)
 
 #: Fixed value: what stands between a name and its value in a rule's pattern.
 ASSIGNMENT = r"""(?:[\s|']|[\s|"]){0,3}(?:=|>|:{1,3}=|\|\|:|<=|=>|:|\?=)(?:'|\"|\s|=|\x60){0,5}"""
-SCHEMA = "rule_idx int, rule_id string, name_re string, value_re string, n_groups int, min_length int, keywords array<string>, min_entropy float, description string"
+SCHEMA = "rule_idx int, rule_id string, name_re string, value_re string, n_groups int, min_length int, keywords array<string>, min_entropy float, description string, plain boolean"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One row of the rule table. Patterns are Java's; name_re is None for rules that need no name."""
+    """One row of the rule table. Patterns are Java's; name_re is None for rules that need no name.
+
+    plain: value_re is a text to be contained, not a pattern.
+    """
 
     rule_idx: int
     rule_id: str
@@ -33,6 +38,12 @@ class Rule:
     keywords: tuple[str, ...]
     min_entropy: float | None
     description: str
+    plain: bool = False
+
+
+def plain_rule(idx: int, rule_id: str, text: str, description: str, min_entropy: float | None = None) -> Rule:
+    """A rule that looks for a text as it is; the word around it is the secret."""
+    return Rule(idx, rule_id, None, text, 0, len(text), (), min_entropy, description, True)
 
 
 def pieces(pattern: str) -> list[tuple[str, bool]]:
@@ -128,19 +139,90 @@ def rules_from_file(path: str) -> list[Rule]:
 def rules_df(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
     """The rule table; an empty list gives an empty table."""
     rules = default_rules() if rules is None else rules
-    return spark.createDataFrame([(r.rule_idx, r.rule_id, r.name_re, r.value_re, r.n_groups, r.min_length, list(r.keywords), r.min_entropy, r.description) for r in rules], SCHEMA)
+    return spark.createDataFrame([(r.rule_idx, r.rule_id, r.name_re, r.value_re, r.n_groups, r.min_length, list(r.keywords), r.min_entropy, r.description, r.plain) for r in rules], SCHEMA)
+
 
+#: Characters of runs that are told apart from the rest of a text in one pass: Unicode's word characters and these.
+RUN_MARKS = "-./+="
+RUN_BREAK = r"(?U)[^\w\-./+=]+"
 
-#: The user agents that requests are sent with.
-USER_AGENTS = (
-    "Windows 10/ Edge browser: Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/42.0.2311.135 Safari/537.36 Edge/12.246",
-    "Windows 7/ Chrome browser: Mozilla/5.0 (Windows NT 6.1; WOW64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/47.0.2526.111 Safari/537.36",
-    "Mac OS X10/Safari browser: Mozilla/5.0 (Macintosh; Intel Mac OS X 10_11_2) AppleWebKit/601.3.9 (KHTML, like Gecko) Version/9.0.2 Safari/601.3.9",
-    "Linux PC/Firefox browser: Mozilla/5.0 (X11; Ubuntu; Linux x86_64; rv:15.0) Gecko/20100101 Firefox/15.0.1",
-    "Chrome OS/Chrome browser: Mozilla/5.0 (X11; CrOS x86_64 8172.45.0) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/51.0.2704.64 Safari/537.36",
-    "Mozilla/5.0 (Windows NT 6.1; WOW64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/47.0.2526.111 Safari/537.36",
-)
+
+@lru_cache(4096)
+def tree_of(pattern: str) -> list | None:
+    """The parse tree of a Java pattern of the rules, flags left out; None where it can't be read."""
+    try:
+        return list(sre.parse(re.sub(r"\(\?[a-zA-Z]+\)", "", pattern).replace(r"\z", r"\Z")))
+    except Exception:  # noqa: BLE001 - without a tree a pattern is only tried more often
+        return None
 
 
-def random_user_agent(seed: int | None = None) -> str:
-    return random.Random(seed).choice(USER_AGENTS)
+def in_runs(op: str, arg: object) -> bool:
+    """Whether a single-character item matches characters of runs only, whatever the case."""
+    word = lambda c: chr(c).isalnum() or chr(c) == "_" or chr(c) in RUN_MARKS
+    if op == "LITERAL":
+        return word(arg)
+    if op != "IN":
+        return False
+    for kind, x in arg:
+        name = str(kind)
+        ok = (name == "LITERAL" and word(x)) or (name == "RANGE" and x[1] < 128 and all(map(word, range(x[0], x[1] + 1)))) or (name == "CATEGORY" and str(x) in ("CATEGORY_WORD", "CATEGORY_DIGIT"))
+        if not ok:
+            return False
+    return True
+
+
+def longest_run(items: list) -> tuple[int, int | None]:
+    """The least length of the longest run in any match, and the match's least length if it is one run from end to end."""
+    best, open_, whole = 0, 0, True
+    for op, arg in items:
+        name = str(op)
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if name == "SUBPATTERN":
+            inner, width = longest_run(list(arg[3]))
+        elif name == "BRANCH":
+            each = [longest_run(list(b)) for b in arg[1]]
+            inner, width = min(x for x, _ in each), None if any(w is None for _, w in each) else min(w for _, w in each)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            inner, width = longest_run(list(arg[2]))
+            inner, width = (inner if arg[0] else 0), None if width is None else width * int(arg[0])
+        else:
+            inner, width = (1, 1) if in_runs(name, arg) else (0, None)
+        if width is None:
+            best, open_, whole = max(best, open_, inner), 0, False
+        else:
+            open_ += width
+    return max(best, open_), open_ if whole else None
+
+
+def needle_sets(items: list) -> Iterator[frozenset[str]]:
+    """Sets of lower-case ASCII texts of which every match holds one of each."""
+    literal = ""
+    for op, arg in [*items, ("END", None)]:
+        name = str(op)
+        if name == "LITERAL" and arg < 128:
+            literal += chr(arg).lower()
+            continue
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if literal:
+            yield frozenset([literal])
+        literal = ""
+        if name == "SUBPATTERN":
+            yield from needle_sets(list(arg[3]))
+        elif name == "BRANCH":
+            each = [max(needle_sets(list(b)), key=lambda s: min(map(len, s)), default=None) for b in arg[1]]
+            if None not in each:
+                yield frozenset().union(*each)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0]:
+            yield from needle_sets(list(arg[2]))
+
+
+@lru_cache(4096)
+def required(pattern: str) -> tuple[int, tuple[str, ...]]:
+    """What a text must have for the pattern to match in it: a run of that many characters, and one of these texts."""
+    tree = tree_of(pattern)
+    if tree is None:
+        return 0, ()
+    needles = max(needle_sets(tree), key=lambda s: (min(map(len, s)), -len(s)), default=frozenset())
+    return longest_run(tree)[0], tuple(sorted(needles)) if needles and len(needles) <= 16 else ()

@@ -28,6 +28,88 @@ def test_names(source):
     assert literals(source) == CASES[source]
 
 
+#: Valid scripts, one a line.
+SYNTAX = r"""
+if(!new.target) throw "a"; var k="b"
+function F(){ return new.target.name + "x" }
+new new X("a")("b")
+import.meta.url + "x"
+const m = await import("mod")
+label: for(;;){ break label }
+a?.b?.["c"]?.("d")
+x ??= "y"; x ||= "z"; x &&= "w"; x **= 2
+class A { static { this.x = "s" } get a(){return "g"} set a(v){} static async *gen(){ yield "y" } #p(){ } static #q = "q"; "str"(){ } 12(){ } async(){ } get(){ } static(){ } }
+class B extends A { constructor(){ super("a"); super.m("b") } }
+const {a: {b = "x"} = {}, ...rest} = o
+const [x = "1", , y] = z
+async function* g(){ for await (const x of y) yield* x }
+var f = async function named() {}
+var o = { async a(){}, get b(){ return "x" }, set b(v){}, *c(){}, async *d(){}, [`k${1}`]: "v", "q": 1, 3: "t", get: "g", set: "s", async: "as", static: "st", new: 1, class: "c", ...sp }
+var re = /[/\]]+/gi, d = a / b / c
+var t = tag`a${b}c`, u = `x${`y${"z"}`}`
+if (a) b; else c
+do x++; while(x<5)
+with(a){ b }
+switch(x){ case "a": case "b": { } default: }
+try { } catch { } finally { }
+try { } catch ({message}) { }
+export default class {}
+export default function(){}
+export * as ns from "m"; export * from "n"; export { default } from "x"; export { a as b, c as "d" }
+import d, * as ns from "m"; import {a as b, default as c} from "n"; import "side"; import json from "./x.json" with { type: "json" }
+var n = 0x1F + 0b11 + 0o17 + 1_000 + 1e-5 + .5 + 5. + 10n
+a = b ? c : d ? "e" : "f"
+(function(){})(), (() => {})(), !function(){}(), void 0
+var let_ = 1; let async; async = 1; var of = 2; var get = 3
+for (var i = 0, n = a.length; i < n; i++) ;
+for (const k in o) if (o.hasOwnProperty(k)) continue
+x = a in b, y = a instanceof B, z = typeof a === "undefined", delete a.b
+#!/usr/bin/env node
+"use strict"; var a = "x"
+<!-- html comment
+var a = 1 /* c */ // d
+return_ = x => ({}), y => {}, (a, b = "c", ...r) => a
+async x => await x; async (x) => { await "y" }
+var abc = "esc"; var ünï = "u"
+a = b
+++c
+a = b
+/re/g.exec("x")
+throw new Error("m")
+debugger; ;;
+let x; { let x = "y" }
+if (a) function f(){}
+x = function* (){ yield; yield "a"; const b = yield }
+a = { __proto__: null, "a-b": "c" }
+var fn = ({a, b: {c}}, [d, e] = ["f"]) => {}
+a?.5:1
+x = a ? .5 : "b"
+x = y => z => "w"
+obj.class.new.if = "k"
+a = b, c = d
+!(a in b) && (c = "d")
+x = `\``
+x = '\u{1F600}\x41\101'
+var yield_ = 1, await_ = 2; var await = 3
+class C { 'a' = "b"; [x] = "y"; static async = 1; get; set; static; async }
+class D { accessor = 1; static get x(){ return 1 } static set x(v){} static async y(){} }
+x = class Named extends (a, b) {}
+x = /(?<y>a)[\]/]/u.test(s) ? "t" : "f"
+x = a++ / 2; y = (a) / 2; z = a[0] / 2; w = f() / 2
+if (/x/.test(a)) /y/.test(b)
+x = { a } / 2
+"""
+
+
+@pytest.mark.parametrize("source", SYNTAX.strip("\n").split("\n"))
+def test_valid_syntax_is_read(source):
+    assert isinstance(literals(source), list)
+
+
+def test_new_target():
+    assert literals('if (!new.target) throw "a"; var k = "b"; var n = new.target.x("c"), m = new new X("d")("e")') == [("a", None), ("b", "k"), ("c", None), ("d", "m"), ("e", "m")]
+
+
 @pytest.mark.parametrize("source", ['let s = "open', "x = {", "`a${b", "/* open", "a ) b", "x = /open", "[1, 2"])
 def test_scripts_that_do_not_parse(source):
     assert isinstance(literals(source), str)

@@ -8,6 +8,7 @@ from kelpie.plans.sites import site_pages
 from kelpie.report import reports
 from kelpie.sources import web
 from kelpie.streaming import stream
+from pyspark.sql import functions as F
 
 AWS = "AKIA" + "QWERTYUIOPASDFGH"
 
@@ -141,6 +142,105 @@ def test_http_source(spark):
     server.shutdown()
 
 
+class Site:
+    """A site on a local port: answers by path, and what was asked."""
+
+    def __init__(self, answers):
+        import http.server
+        import threading
+
+        self.asked = asked = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                asked.append((self.path, {k.lower(): v for k, v in self.headers.items()}))
+                kind, body, *more = answers.get(self.path, (None, ""))
+                self.send_response(200 if kind else 404)
+                self.send_header("Content-Type", kind or "text/plain")
+                self.send_header("Content-Length", str(len(body.encode())))
+                for name, value in more:
+                    self.send_header(name, value)
+                self.end_headers()
+                self.wfile.write(body.encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://localhost:{self.server.server_port}/"
+
+
+def test_live_crawl_and_remote_scripts(spark, capsys):
+    html, js = "text/html; charset=utf-8", "text/javascript"
+    site = Site({
+        "/": (html, "<a href=/a>a</a><a href=/b>b</a><a href=https://other.example/>o</a><script src=/jquery.js></script>", ("Set-Cookie", "k=1; Path=/")),
+        "/a": (html, "<a href=/c>c</a><a href=/text>t</a><script src='/app.js'></script>"), "/b": (html, "<a href=/a>a</a><a href=/gone>g</a><a href=/empty>e</a>"),
+        "/c": (html, "<p>end</p><script src=/app.js></script><script src=/note.txt></script>"), "/text": ("text/plain", "x"), "/empty": (html, ""),
+        "/app.js": (js, f'var k = "{AWS}";'), "/note.txt": ("text/plain", f'var n = "{AWS[:-1]}Z";'),
+    })
+    config = c.CrawlConfig(user_agent="agent").with_header("X-Own", "1").with_cookie_jar(True).with_timeout(5).with_timeout_connect(5).with_close_channel(True)
+    walked = c.crawl(spark, None, site.url, config)
+    assert sorted((r.url.removeprefix(site.url), r.depth) for r in walked.visited.collect()) == [("", 0), ("a", 1), ("b", 1), ("c", 2)]
+    assert {(r.url.removeprefix(site.url), r.kind) for r in walked.errors.collect()} == {("text", "NotHtml"), ("gone", "WalkFailed"), ("empty", "NoContent")}
+    assert walked.succeeded and walked.done
+    paths = [p for p, _ in site.asked]
+    assert len(paths) == len(set(paths)) and "/app.js" not in paths
+    assert all(h["user-agent"] == "agent" and h["x-own"] == "1" and h["dnt"] == "1" for _, h in site.asked)
+    assert all((h.get("cookie") == "k=1") == (p != "/") for p, h in site.asked)
+    site.asked.clear()
+    assert cli.main([site.url, "-U", "-H", "X-Own: 1", "--timeout", "5"], spark) == 0
+    out = capsys.readouterr().out
+    assert AWS in out and f"{site.url}app.js" in out and "Found 1 key(s) across 1 script(s) and 4 page(s)" in out
+    scripts = [(p, h) for p, h in site.asked if "." in p]
+    assert {p for p, _ in scripts} == {"/app.js", "/note.txt"} and len(scripts) == 2 and all("x-own" not in h for _, h in scripts)
+    site.asked.clear()
+    assert cli.main([site.url, "-U", "-H", "X-Own: 1", "--headers-for-scripts"], spark) == 0
+    assert all(h["x-own"] == "1" for p, h in site.asked if "." in p)
+    site.server.shutdown()
+
+
+def test_fetching_bounds_and_errors(spark):
+    site = Site({"/big": ("text/html", "x" * 5000), "/ok": ("text/html; charset=nonsense", "é")})
+    urls = spark.createDataFrame([(f"{site.url}{p}", k) for k, p in enumerate(["big", "ok", "none"])] + [("http://localhost:1/", 3), ("nothing", 4)], "url string, k int")
+    got = {r.k: r for r in web.fetched(urls, web.Requests(timeout=3, max_bytes=1000)).collect()}
+    assert got[0].body is None and "more than 1000 bytes" in got[0].error and got[1].body == "é" and got[2].status == 404 and got[3].error and got[4].error
+    site.server.shutdown()
+
+
+def test_walks_fail_with_their_only_links(spark):
+    """A page fails if its only link does, or if all the pages it leads to that could be read do."""
+    assert not walk(spark, {S: ["gone"]})[1].succeeded
+    assert not walk(spark, {S: ["a"], S + "a": ["b"], S + "b": ["gone"]})[1].succeeded
+    assert not walk(spark, {S: ["a", "b"], S + "a": ["gone"], S + "b": ["lost"]})[1].succeeded
+    assert walk(spark, {S: ["a", "b"], S + "a": ["gone"], S + "b": []})[1].succeeded
+    assert walk(spark, {S: ["gone", "lost"]})[1].succeeded
+    assert not walk(spark, {"https://t.com/": []})[1].succeeded
+
+
+def test_several_entries_share_a_cache(spark, tmp_path, capsys):
+    site = {S: ["a", "b"], S + "a": ["b", "/"], S + "b": ["a", "c"], S + "c": []}
+    first, second = c.crawl_many(spark, pages(spark, site), [S + "b", S + "a"], c.CrawlConfig(user_agent=None))
+    assert {r.url for r in first.visited.collect()} == set(site) and second.visited.count() == 0
+    assert c.crawl(spark, pages(spark, site), S + "a", seen=c.no_cache(spark)).visited.count() == 4
+    table = str(tmp_path / "p")
+    spark.createDataFrame([("https://s.com/", f'<script>k = "{AWS}"</script>'), ("https://t.com/", f'<script>k = "{AWS}"</script>')], "url string, html string").write.parquet(table)
+    assert cli.main(["s.com", "t.com", "--pages", table, "-q"], spark) == 0
+    assert "Found 1 key(s) across 2 script(s) and 2 page(s)" in capsys.readouterr().out
+    assert [cli.log_level(v, q) for v, q in ((0, 0), (1, 0), (5, 0), (0, 1), (0, 9))] == ["WARN", "INFO", "DEBUG", "ERROR", "OFF"]
+
+
+def test_console_report_redacts_and_prints_everything(spark, capsys):
+    df = spark.createDataFrame([("r", "d", None, f"{AWS}{k}", 1, 1, "u") for k in range(1200)], "rule_id string, description string, key_name string, secret string, line int, column int, script_url string")
+    r = reports.graphical_reporter(None, redacted=True)
+    r.report(df)
+    out = capsys.readouterr().out
+    assert out.count("Found key") == 1200 and AWS not in out and r.keys_found == 1200
+    source = 'var a = "var b";\nlet x = 1;'
+    shown = spark.createDataFrame([(source, 1)], "s string, line int").select(reports.snippet(F.col("s"), F.col("line"), True).alias("x")).first().x
+    assert shown == '  1 \x1b[35mvar\x1b[0m a = "var b";\n  2 \x1b[35mlet\x1b[0m x = 1;'
+
+
 def test_stream(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     rows = [(1, S, f'<script>k = "{AWS}"</script>'), (2, S + "#again", f'<script>k = "{AWS}"</script>'), (3, S + "2", f'<script>k = "{AWS}"</script>')]
@@ -164,9 +264,9 @@ def test_cli(spark, tmp_path, capsys):
 
 def test_crawl_of_deep_and_wide_pages(spark):
     """Places neither grow with the depth nor collide on pages with thousands of elements."""
-    site = {S if k == 0 else f"{S}p{k}": [f"/p{k + 1}"] for k in range(13)}
+    site = {S if k == 0 else f"{S}p{k}": [f"/p{k + 1}"] for k in range(19)}
     got = c.crawl(spark, pages(spark, site), S, c.CrawlConfig(user_agent=None)).visited.collect()
-    assert sorted(r.depth for r in got) == list(range(13))
+    assert sorted(r.depth for r in got) == list(range(19))
     # the first page's links come before the second's, however many elements it has
     wide = spark.createDataFrame([(S, "<a href='/a'>a</a><a href='/b'>b</a>"), (f"{S}a", "<p>x</p>" * 5000 + "<a href='/y'>y</a><a href='/z'>z</a>"), (f"{S}b", "<a href='/v'>v</a><a href='/w'>w</a>"), (f"{S}y", ""), (f"{S}v", "")], "url string, html string")
     crawled = c.crawl(spark, wide, S, c.CrawlConfig(user_agent=None, max_walks=4))

@@ -1,7 +1,8 @@
 import re
 
 import pytest
-from kelpie.sources.rules import ASSIGNMENT, USER_AGENTS, default_rules, group_count, parse_rules, random_user_agent, rules_df, rules_from_file, shortest, to_java
+from kelpie.sources.rules import ASSIGNMENT, default_rules, group_count, parse_rules, rules_df, rules_from_file, shortest, to_java
+from kelpie.sources.web import USER_AGENTS, random_user_agent
 
 
 def test_pack_counts():
