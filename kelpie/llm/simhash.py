@@ -11,9 +11,10 @@ fingerprints is split into blocks, and each pair of blocks is a group of its own
 by bit counts over at most two blocks, and no task holds a larger group. A group gives a spanning forest of its
 links, never all pairs. Components come from alternating large and small stars over edges only.
 
-Defined results: null or empty texts have fingerprint 0 and are linked like any other; repeated rows and ties
-give a row each; a row with a null id takes part, and its component is the smallest id that is not null; an empty
-table gives an empty result. Only the id and the text are read.
+Defined results: null or empty texts have fingerprint 0 and are linked like any other (similar() links texts without
+words to each other only); very long texts are read whole; repeated rows and ties give a row each; a row with a null
+id takes part, and its component is the smallest id that is not null; ids have to be integers; an empty table gives
+an empty result. Only the id and the text are read, so other columns cannot clash; keep_one() passes them on.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import cut, map_rows, sized, text_or_empty
+from kelpie.llm.common import cut, integer_id, map_rows, sized, text_or_empty
 
 SEED = 42
 STEP = 1 << 15
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
         for i, text in zip(batch["doc_id"], batch["text"], strict=True):
             yield i, signed(fingerprint(text, shingle))
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    source = docs.select(integer_id(docs, id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     return map_rows(source, "doc_id long, fp long", rows)
 
 
@@ -145,6 +146,18 @@ def linked(groups: DataFrame, decide: Callable[[pa.StructArray], Iterator[tuple[
     return groups.select("m").mapInArrow(run, "u long, v long")
 
 
+def with_least(rows: DataFrame, key: str, value: str, n_rows: int) -> DataFrame:
+    """The rows with m, the least value of their key.
+
+    Keys with a thousandth of all rows or more, so a thousand at most, are looked up in a broadcast: no task gets all
+    rows of such a key.
+    """
+    many = F.lit(max(256, n_rows // 1000))
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("c"))
+    hubs = F.broadcast(least.where(F.col("c") >= many).drop("c"))
+    return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(least.where(F.col("c") < many).drop("c"), key))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge: component is the smallest node it can reach.
 
@@ -152,21 +165,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of counts. Partial minima are taken before every shuffle.
     """
     edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    state = None
+    state, n = None, edges.count()
     for _ in range(max_rounds):
         # large star: every neighbour above a node is hung on the least of its neighbourhood
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = with_least(both, "u", "v", 2 * n).where("v > u").select(F.least("u", "m").alias("u"), "v").where("u <> v").distinct()
         # small star: a node and its lower neighbours are hung on the least of them
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        lower = large.join(low, "v")
+        lower = with_least(large, "v", "u", n)
         small = lower.select(F.col("m").alias("u"), F.col("u").alias("v")).union(lower.select(F.col("m").alias("u"), "v")).where("u <> v").distinct()
         edges = cut(small)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.countDistinct("v")).first()
         if seen == state or seen[0] == 0 or (seen[0] == seen[2] and edges.alias("a").join(edges.alias("b"), F.col("a.v") == F.col("b.u"), "left_semi").isEmpty()):
             return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-        state = seen
+        state, n = seen, seen[0]
     raise RuntimeError("the components did not settle")
 
 
@@ -255,7 +266,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: i
     shingles themselves decide each. Buckets with the same members are one, and only members of shared buckets have
     their shingles moved, in blocks of about `block` texts and `most` shingles at most.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    source = docs.select(integer_id(docs, id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def profile(batch: dict) -> Iterator[tuple]:
         for i, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -276,7 +287,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: i
     distinct = buckets.groupBy("c", "x", "y").agg(F.min(F.struct("t", "key", "total")).alias("b")).select("b.t", "b.key", F.ceil(F.greatest(F.col("c") / block, F.col("b.total") / most)).cast("int").alias("nb"))
     members = cut(in_blocks(spread.join(distinct, ["t", "key"]), *same).select("t", "key", *same, "node", "nb", "own"))
     wanted = cut(members.select(F.col("node").alias("doc_id")).distinct())
-    sets = map_rows(source.join(sized(wanted, 1_000_000), "doc_id", "left_semi"), "h1 long, h2 long, shingles array<long>", read, 256).dropDuplicates(same)
+    sets = map_rows(source.join(sized(wanted, 1 << 26), "doc_id", "left_semi"), "h1 long, h2 long, shingles array<long>", read, 256).dropDuplicates(same)
     groups = with_block_pairs(members).join(sets, same).groupBy("t", "key", "p").agg(F.collect_list(F.struct("own", "node", "shingles")).alias("m")).where(F.size("m") > 1)
 
     def decide(members: pa.StructArray) -> Iterator[tuple[int, int]]:
@@ -294,6 +305,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     Of rows that repeat that id all stay. Rows without an id stay.
     """
     found = similar(docs, shingle, similarity, id_col=id_col, text_col=text_col)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    # ids only: a million are some megabytes
-    return docs.join(sized(gone, 1_000_000), docs[id_col] == F.col("__gone"), "left_anti")
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    keyed = docs.select(F.struct("*").alias("doc"), integer_id(docs, id_col).alias("doc_id"))
+    return keyed.join(sized(gone, 1 << 26), "doc_id", "left_anti").select("doc.*")
