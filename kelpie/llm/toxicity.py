@@ -6,13 +6,18 @@ fitted on it, so a later model learns from inputs as good as those it will get.
 prefixes (inflections and compounds share them), once for occurring and once for occurring `OFTEN` times or more.
 Models are logistic regressions over the features that tell a category most.
 
+Features are chosen for each model on the rows it is fitted on, so no label of a fold has a part in the out-of-fold
+probabilities of that fold.
+
 Training takes a bounded sample of the labelled rows: the `max_train` with the smallest hash of their id. Features
 are counted over the cluster, and only those that tell a category reach the driver. Scoring
 is one map pass over all rows; the model that is broadcast has at most `max_features` weights a category.
 
 Defined results: null texts are empty and get the models' base rate; rows with a null label in any category do
 not train; an id labelled twice takes the larger label; a category that has but one label, or no rows, gets a
-constant probability (0 without rows); repeated rows get a row each. Only the id, text and labels are read.
+constant probability (0 without rows); features that tell a category alike are taken by their number; a very long
+text is read whole; repeated rows get a row each; an empty table gives an empty result. Only the id, text and labels
+are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -94,7 +99,10 @@ class Rows:
         self.names, self.ids = np.unique(flat, return_inverse=True)
 
     def select(self, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
-        """The features that tell y best on the rows in use: largest |z| of the difference of two rates."""
+        """The features that tell y best on the rows in use: largest |z| of the difference of two rates.
+
+        The names held have to include these, as telling() makes sure; others that are held change nothing.
+        """
         m = len(self.names)
         on = use[self.row]
         pos = np.bincount(self.ids[on & y[self.row]], minlength=m)
@@ -150,22 +158,28 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + following) / 2)
 
 
+def out_of_fold(rows: Rows, fold: np.ndarray, y: np.ndarray, given: np.ndarray, max_features: int) -> np.ndarray:
+    """Of each row the probability that a model gives which was chosen and fitted on the other folds."""
+    out = np.zeros(rows.n)
+    for f in range(FOLDS):
+        predict, _ = fit(rows, y, given, fold != f, max_features)
+        out[fold == f] = predict()[fold == f]
+    return out
+
+
 def fit_chain(rows: Rows, fold: np.ndarray, labels: dict[str, np.ndarray], max_features: int) -> Chain:
     given = np.zeros((rows.n, 0))
     models, thresholds = [], []
     for y in labels.values():
-        out_of_fold = np.zeros(rows.n)
-        for f in range(FOLDS):
-            predict, _ = fit(rows, y, given, fold != f, max_features)
-            out_of_fold[fold == f] = predict()[fold == f]
+        held_out = out_of_fold(rows, fold, y, given, max_features)
         models.append(fit(rows, y, given, np.ones(rows.n, bool), max_features)[1])
-        thresholds.append(best_threshold(out_of_fold, y))
-        given = np.column_stack([given, out_of_fold])
+        thresholds.append(best_threshold(held_out, y))
+        given = np.column_stack([given, held_out])
     return Chain(list(labels), models, thresholds)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, y, f) of the training rows: labels and packed features. categories: name -> SQL over the labels, 1 where it holds."""
+    """(id, y, fold, f) of the training rows: labels and packed features. categories: name -> SQL over the labels, 1 where it holds."""
     marks = labels.select(F.col(id_col).alias("id"), *[F.expr(e).cast("int").alias(f"y{k}") for k, e in enumerate(categories.values())])
     marks = marks.dropna().groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))])
     # bounded: max_train rows
@@ -176,35 +190,54 @@ def sampled(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_
     def rows(batch: dict) -> Iterator[tuple]:
         get = cached(word_features)
         for i, text, *y in zip(*batch.values(), strict=True):
-            yield str(i), [int(v > 0) for v in y], np.array(features(text, get), "<i4").tobytes()
+            yield str(i), [int(v > 0) for v in y], fold_of(str(i)), np.array(features(text, get), "<i4").tobytes()
+
+    return cut(map_rows(joined.select("id", "text", *[f"y{k}" for k in range(len(categories))]), "id string, y array<int>, fold int, f binary", rows, 512))
 
-    return cut(map_rows(joined.select("id", "text", *[f"y{k}" for k in range(len(categories))]), "id string, y array<int>, f binary", rows, 512))
+
+def fold_of(i: str) -> int:
+    return zlib.crc32(i.encode()) % FOLDS
 
 
 def telling(sample: DataFrame, n_categories: int, most: int) -> np.ndarray:
-    """Features that occur in three rows or more and tell some category best: at most `most` for each category.
+    """What Rows.select takes for each category from all rows, and from those of all folds but one.
 
-    Counted over the cluster; the difference of two rates in standard errors is what Rows.select goes by, too.
+    Counted over the cluster, by feature and fold: a fold's labels have no part in what the others choose. At most
+    `most` features for each category and choice of folds.
     """
-    names = [f"y{k}" for k in range(n_categories)]
+    uses = [tuple(range(FOLDS)), *(tuple(f for f in range(FOLDS) if f != out) for out in range(FOLDS))]
+    names = [[f"n_{f}", *[f"y{k}_{f}" for k in range(n_categories)]] for f in range(FOLDS)]
+    flat = [x for own in names for x in own]
 
     def rows(batch: dict) -> Iterator[tuple]:
         found = [np.frombuffer(f, "<i4") for f in batch["f"]]
         ids, at = np.unique(np.concatenate(found), return_inverse=True)
         row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        y = np.array(batch["y"], np.int64)
-        counts = [np.bincount(at), *[np.bincount(at, y[row, k], len(ids)).astype(np.int64) for k in range(n_categories)]]
+        y, fold = np.array(batch["y"], np.int64), np.array(batch["fold"], np.int64)
+        counts = []
+        for f in range(FOLDS):
+            on = fold[row] == f
+            counts.append(np.bincount(at[on], minlength=len(ids)))
+            counts += [np.bincount(at[on], y[row[on], k], len(ids)).astype(np.int64) for k in range(n_categories)]
         yield from zip(ids.tolist(), *[c.tolist() for c in counts], strict=True)
 
-    parts = map_rows(sample.where("length(f) > 0"), f"f int, n long, {', '.join(f'{x} long' for x in names)}", rows, 65536)
-    counts = cut(parts.groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).where("n >= 3"))
-    total, *positive = sample.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.col("y")[k]), F.lit(0)) for k in range(n_categories)]).first()
+    parts = map_rows(sample.where("length(f) > 0"), f"f int, {', '.join(f'{x} long' for x in flat)}", rows, 65536)
+    summed = parts.groupBy("f").agg(*[F.sum(x).alias(x) for x in flat])
+    counts = cut(summed.where(" + ".join(own[0] for own in names) + " >= 3"))
+    sums = {r.fold: r for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("y")[k]).alias(f"y{k}") for k in range(n_categories)]).collect()}
     best = []
-    for name, p in zip(names, positive, strict=True):
-        rate = (F.col("n") + 0.5) / (total + 1)
-        z = F.abs(F.col(name) - p * rate) / F.sqrt(p * rate * (1 - rate) + 1e-9)
-        best.append(counts.select("f", z.alias("z")).where("z > 2").orderBy(F.desc("z"), "f").limit(most).toArrow().column("f").to_numpy())
-    return np.unique(np.concatenate(best))
+    for use in uses:
+        total = sum(sums[f].n for f in use if f in sums)
+        n = sum((F.col(f"n_{f}") for f in use), F.lit(0))
+        for k in range(n_categories):
+            p = max(1, sum(sums[f][f"y{k}"] for f in use if f in sums))
+            positive, rate = sum((F.col(f"y{k}_{f}") for f in use), F.lit(0)), (n + 0.5) / (max(1, total) + 1)
+            z = F.abs(positive - p * rate) / F.sqrt(p * rate * (1 - rate) + 1e-9)
+            best.append(counts.where(n >= 3).select("f", z.alias("z")).where("z > 1.99").orderBy(F.desc("z"), "f").limit(most).select("f"))
+    chosen = best[0]
+    for b in best[1:]:
+        chosen = chosen.unionByName(b)
+    return np.unique(chosen.toArrow().column("f").to_numpy())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int, max_features: int, id_col: str, text_col: str) -> tuple[Rows, np.ndarray, dict[str, np.ndarray]]:
@@ -220,7 +253,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
 
     got = map_rows(sample, "id string, y array<int>, f binary", rows, 512).toArrow().to_pydict()
     order = sorted(range(len(got["id"])), key=lambda k: (got["id"][k], got["f"][k]))
-    fold = np.array([zlib.crc32(got["id"][k].encode()) % FOLDS for k in order], np.int64)
+    fold = np.array([fold_of(got["id"][k]) for k in order], np.int64)
     y = {name: np.array([got["y"][k][c] > 0 for k in order], bool) for c, name in enumerate(categories)}
     return Rows([np.frombuffer(got["f"][k], "<i4").astype(np.int64) for k in order]), fold, y
 
