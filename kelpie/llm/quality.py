@@ -3,13 +3,13 @@
 The ledger (measurements + failure bits) is computed in one map pass with no shuffle. Policies are versioned
 sets of rules applied to the bits, so changing a policy or asking what a rule costs never touches the texts again.
 
-Defined results: a null or empty text has no words and fails the rules on too few words; repeated rows give
-repeated results; an empty table gives an empty ledger; other columns than the id and the text are not read.
+Defined results: a null or empty text has no words and fails the rules on too few words; a very long text is measured
+whole, in memory in proportion to its words; repeated rows give repeated results; a null id stays null; an empty table gives
+an empty ledger. The ledger reads the id and the text only; keep() passes all columns on, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,11 +105,15 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     id_type = docs.schema[id_col].dataType.simpleString()
     measured = map_rows(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), f"id {id_type}, {MEASURES}", rows)
-    bits = [F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(RULES)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return measured.withColumn("failure_bits", total).withColumnRenamed("id", id_col)
+    return measured.withColumn("failure_bits", failure_bits()).withColumnRenamed("id", id_col)
+
+
+def failure_bits() -> Column:
+    """The ledger's bits, from columns named like the measurements: each rule is evaluated once."""
+    total = F.lit(0).cast("long")
+    for k, r in enumerate(RULES):
+        total = total.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    return total
 
 
 def fails(policy: str, bits: str = "failure_bits") -> Column:
@@ -135,7 +139,7 @@ def ablations(ledger_df: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all their columns, that the policy keeps.
+    """The documents, all their columns, whose ledger bits the policy keeps.
 
     The measurements are taken beside the row by a scalar Arrow function: no shuffle and no join by id.
     """
@@ -146,8 +150,5 @@ def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, id_col: str = "doc_id",
         columns = list(zip(*[measure(t) for t in text.to_pylist()], strict=True)) or [[] for _ in names]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    m = "__measures"
-    bad = " OR ".join(f"({r.fails})" for k, r in enumerate(RULES) if POLICIES[policy].mask >> k & 1)
-    for n in names:
-        bad = re.sub(rf"(?<![.\w]){n}\b", f"{m}.{n}", bad)
-    return docs.withColumn(m, measured(text_or_empty(text_col))).where(~F.expr(bad)).drop(m)
+    beside = docs.select(F.struct("*").alias("doc"), measured(text_or_empty(text_col)).alias("m")).select("doc", "m.*")
+    return beside.select("doc", failure_bits().alias("failure_bits")).where(~fails(policy)).select("doc.*")
