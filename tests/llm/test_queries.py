@@ -30,3 +30,17 @@ def test_pipeline(spark, tmp_path):
     kept = {r.doc_id for r in before.select("doc_id").collect()}
     assert {r.doc_id for r in docs.select("doc_id").collect()} == kept
     assert corpus_pipeline.run(spark, DIR).count() == docs.count()
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_on_odd_rows(spark, stage):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names, and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc string, th int, covered int, failure_bits int, `x.y` int"
+    words = " ".join(f"word{k}" for k in range(90))
+    texts = [None, "", " \n", words, words, "One. Two. Three.", f"{words}. " * 40, "\x00 \x1c é"]
+    rows = [(k if k % 3 else None, x, None if k % 2 else "en", None, k, "d", 1, 2, 3, 4) for k, x in enumerate(texts)] + [(4, words, None, None, None, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, schema)
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, df, DIR)
+    assert got.columns == df.columns, name
+    assert 0 < got.count() <= len(rows) and run(spark, df.limit(0), DIR).count() == 0
