@@ -7,11 +7,13 @@ partition are merged: groups of them are packed again the same way, level by lev
 task sees more than fan_in x open_windows windows.
 
 Tokens come from a public tokenizer file. Byte-level BPE starts a token at a space after a non-space whatever
-follows, so a text is cut there and the ids of each cut are kept in a bounded cache; texts of any length need no
+follows, so a text is cut there and the ids of each short cut are kept in a bounded cache; texts of any length need no
 more memory than their ids.
 
-Defined results: a null or empty text is one token, the separator; repeated rows are packed as often as they
-occur; an empty table gives no pieces; only the id and the text are read, so other columns cannot clash.
+Defined results: a null or empty text is one token, the separator; added tokens of the file that a text spells out are
+those tokens; a very long text gives full windows by itself; windows of equal room are filled the oldest first;
+repeated rows are packed as often as they occur; ids may be of any type, null or repeated; an empty table gives no
+pieces; only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from kelpie.llm.common import cut, text_or_empty, to_batch
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
+PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 #: Low bits of sequence_id count a task's windows; above them stand the task and the merging level.
 TASK_SHIFT, LEVEL_SHIFT = 32, 56
 
@@ -65,44 +67,46 @@ def byte_ranks(file: str) -> dict[bytes, int] | None:
 class Encoder:
     """Ids of a text as little-endian uint32 bytes, equal to the tokenizer's encode(text, add_special_tokens=False).
 
-    Plain byte-level BPE files go through the faster of the two libraries that read such vocabularies.
+    Plain byte-level BPE files go through the faster of the two libraries that read such vocabularies, except for
+    texts that spell out one of the file's added tokens.
     """
 
     def __init__(self, file: str, cache: int = 600_000) -> None:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(file)
+        self.whole = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         ranks = byte_ranks(file)
+        self.cuttable = ranks is not None
+        added = [t["content"] for t in json.loads(Path(file).read_text()).get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else re.compile(r"(?!)")
         if ranks is not None:
             import tiktoken
 
             self.one = tiktoken.Encoding("packing", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(file)
-            tokenizer.encode_special_tokens = True
-            self.one = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        self.cuttable = ranks is not None
-        self.cache = Cuts(self.one)
-        self.limit = cache
+            self.cache = Cuts(self.one, cache)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.cuttable:
-            return array("I", self.one(text)).tobytes()
+        if not self.cuttable or self.added.search(text):
+            return self.whole(text)
         first, *rest = SURE.split(text) if UNSURE.search(text) else text.split(" ")
-        if len(self.cache) > self.limit:
-            self.cache.clear()
         return array("I", self.one(first)).tobytes() + b"".join(map(self.cache.__getitem__, rest))
 
 
 class Cuts(dict):
-    """Ids of a cut, which stands after a space."""
+    """Ids of a cut, which stands after a space. Short cuts are kept, at most `most` of them."""
 
-    def __init__(self, one) -> None:
-        self.one = one
+    def __init__(self, one, most: int) -> None:
+        self.one, self.most = one, most
 
     def __missing__(self, cut_: str) -> bytes:
-        got = self[cut_] = array("I", self.one(" " + cut_)).tobytes()
+        got = array("I", self.one(" " + cut_)).tobytes()
+        if len(cut_) <= 32:
+            if len(self) >= self.most:
+                self.clear()
+            self[cut_] = got
         return got
 
 
@@ -178,7 +182,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, windows: int = 6
     Sequences hold at most capacity ids and are padded to it. Texts are read and tokenized once, and never moved:
     only the pieces of windows still open go on to be merged.
     """
-    schema = pa.schema([(n, pa.bool_() if t == "boolean" else pa.int64()) for n, t in (c.split() for c in PIECE.split(", "))])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = docs.schema[id_col].dataType
+    piece = PIECE.format(id=id_type.simpleString())
+    columns = [c.split()[0] for c in PIECE.split(", ")]
+    schema = pa.schema([(c, to_arrow_type(id_type) if c == "doc_id" else pa.bool_() if c == "open" else pa.int64()) for c in columns])
     end = np.array([separator], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +201,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, windows: int = 6
 
         yield from batches_of(rows(), schema)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    placed = cut(texts.mapInArrow(first, PIECE))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    placed = cut(texts.mapInArrow(first, piece))
     done, left, level = [placed.where("not open")], placed.where("open"), 1
     tasks = placed.rdd.getNumPartitions()
     while True:
         groups = max(1, -(-tasks // fan_in))
-        merged = cut(merge(left, groups, level, last=groups == 1, capacity=capacity, windows=windows, fan_in=fan_in, schema=schema))
+        merged = cut(merge(left, groups, level, last=groups == 1, capacity=capacity, windows=windows, fan_in=fan_in, schema=schema, piece=piece))
         done.append(merged.where("not open"))
         if groups == 1:
             break
@@ -209,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, windows: int = 6
     return out.drop("open")
 
 
-def merge(left: DataFrame, groups: int, level: int, last: bool, capacity: int, windows: int, fan_in: int, schema: pa.Schema) -> DataFrame:
+def merge(left: DataFrame, groups: int, level: int, last: bool, capacity: int, windows: int, fan_in: int, schema: pa.Schema, piece: str) -> DataFrame:
     """One level: the open windows of fan_in tasks are packed into a task's own, fullest first."""
     first_id = level << LEVEL_SHIFT
     task = F.shiftright(F.col("sequence_id"), TASK_SHIFT).bitwiseAND(F.lit((1 << (LEVEL_SHIFT - TASK_SHIFT)) - 1))
@@ -230,7 +239,7 @@ def merge(left: DataFrame, groups: int, level: int, last: bool, capacity: int, w
 
         yield from batches_of(rows(), schema)
 
-    return grouped.mapInArrow(run, PIECE)
+    return grouped.mapInArrow(run, piece)
 
 
 def sequences(pieces: DataFrame, docs: DataFrame, tokenizer: str, capacity: int = 1024, separator: int = 0, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +253,7 @@ def sequences(pieces: DataFrame, docs: DataFrame, tokenizer: str, capacity: int
         encoder = Encoder(tokenizer)
         return text.map(lambda t: encoder.encode(t) + np.array([separator], "<u4").tobytes())
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), ids_of(text_or_empty(text_col)).alias("ids"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), ids_of(text_or_empty(text_col)).alias("ids"))
     part = F.expr("substring(ids, int(4 * start + 1), int(4 * length))")
     held = pieces.join(texts, "doc_id").select("sequence_id", F.struct("offset", "doc_id", part.alias("ids")).alias("p"))
 
