@@ -6,14 +6,16 @@ were chosen so that every 13 tokens with at most two substitutions hold an intac
 hit the document and the item are laid over each other on the hit's diagonal and compared token by token: they
 overlap if some stretch of `window` tokens (the whole item, if shorter) agrees in at least `share` of them.
 
-Scale: documents are never moved for the search. Benchmark hashes are broadcast only when their count is at most
-`broadcast_rows`, else the two sides are joined by hash through a shuffle. Hits are collapsed per (document, item,
+Scale: documents are never moved for the search. Benchmark hashes are broadcast only when they take at most
+`broadcast_bytes`, else the two sides are joined by hash through a shuffle. Hits are collapsed per (document, item,
 diagonal) before their shuffle, and only documents with hits are read again for the comparison.
 
 Defined results: null and empty texts have no tokens and no overlaps; items of fewer than min_tokens tokens are
 no evidence; items of fewer than SURE tokens are also searched with those tokens left out whose substitution the share
-allows and no mask survives; rows that repeat both id and text are one document in
-the result; equal items (after lower-casing) are searched once and each gets its rows.
+allows and no mask survives; very long texts are searched and compared whole; of diagonals that overlap alike the one
+that begins first is told; rows that repeat both id and text are one document in the result; ids may be of any type,
+null or repeated; equal items (after lower-casing) are searched once and each gets its rows; an empty table gives an
+empty result. Other columns of the documents pass through remove_contaminated, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import cut, sized, text_or_empty
 
 MASKS = ("1110000111", "110011011", "1101011001", "11110101")
+#: Copies of the items where these are too many to be broadcast.
+SALTS = 16
 #: So many tokens hold an intact seed whichever two of them are substituted.
 SURE = 13
 
@@ -62,35 +66,48 @@ def seeds(rows: DataFrame, keep: list[str], short: list[int], share: float, whol
     return at.select(*keep, "at", F.explode(F.array(*hashes)).alias("h")).where("h is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, min_tokens: int = 5, broadcast_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, min_tokens: int = 5, broadcast_bytes: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, doc_start, item_start, aligned, matched, best, needed): the best diagonal of each pair that overlaps.
 
     doc_start and item_start are the first aligned tokens, aligned their number, matched how many agree, best how
     many agree in the best stretch, needed how many had to.
     """
-    return found_overlaps(docs, benchmark, window, share, min_tokens, broadcast_rows, id_col, text_col).drop("th")
+    return found_overlaps(docs, benchmark, window, share, min_tokens, broadcast_bytes, id_col, text_col).drop("th")
 
 
-def found_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, min_tokens: int = 5, broadcast_rows: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def found_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.8, min_tokens: int = 5, broadcast_bytes: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same with th, the hash of the document's text."""
     items = benchmark.select(F.col("item_id"), tokens(text_or_empty("text")).alias("words")).where(F.size("words") >= min_tokens)
-    classes = cut(items.groupBy("words").agg(F.min("item_id").alias("class_id"), F.collect_set("item_id").alias("item_ids")))
+    items = items.withColumn("class_id", F.unhex(F.md5(F.array_join("words", " "))))
+    classes = cut(items.groupBy("class_id").agg(F.first("words").alias("words")))
     # at most SURE - min_tokens numbers
     short = sorted(r[0] for r in classes.where(F.size("words") < SURE).select(F.size("words")).distinct().collect())
     train = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     keyed = train.select("doc_id", F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
-    asked = sized(cut(seeds(classes.select("class_id", "words").where(F.size("words") >= min_tokens), ["class_id"], short, share, whole=True).withColumnRenamed("at", "item_at")), broadcast_rows)
+    asked = sized(cut(seeds(classes.where(F.size("words") >= min_tokens), ["class_id"], short, share, whole=True).withColumnRenamed("at", "item_at")), broadcast_bytes)
     hits = seeds(keyed, ["doc_id", "th"], short, share).join(asked, "h").groupBy("doc_id", "th", "class_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits"))
     # few documents have hits, as a rule: then their texts stay where they are
-    return verify(sized(cut(hits), broadcast_rows // 8), train.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), "text"), classes, window, share)
+    found = verify(sized(cut(hits), broadcast_bytes), train.select("doc_id", F.xxhash64("text").alias("th"), "text"), classes, window, share, broadcast_bytes)
+    named = found.join(sized(cut(items.select("class_id", "item_id").distinct()), broadcast_bytes), "class_id")
+    return named.select("doc_id", "th", "item_id", (-F.col("t.d")).alias("doc_start"), (-F.col("t.i")).alias("item_start"), "t.aligned", "t.matched", "t.best", "t.needed")
 
 
-def verify(hits: DataFrame, texts: DataFrame, classes: DataFrame, window: int, share: float) -> DataFrame:
-    """The overlaps among (doc_id, th, class_id, diagonal)."""
+def beside_items(read: DataFrame, classes: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """The rows with the tokens of their class, as item: broadcast if they are few, else dealt by salt, as a class may have very many rows."""
     item = classes.select("class_id", F.col("words").alias("item"))
-    met = texts.join(hits, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__th") == F.col("th")))
-    read = met.select("doc_id", "th", "class_id", "diagonal", tokens(F.col("text")).alias("words"))
-    both = read.join(item, "class_id").withColumn("n_item", F.size("item"))
+    small = sized(item, broadcast_bytes)
+    if small is not item:
+        return read.join(small, "class_id")
+    salted = item.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return read.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int")).join(salted, ["class_id", "salt"]).drop("salt")
+
+
+def verify(hits: DataFrame, texts: DataFrame, classes: DataFrame, window: int, share: float, broadcast_bytes: int) -> DataFrame:
+    """(doc_id, th, class_id, t) of the overlaps among (doc_id, th, class_id, diagonal)."""
+    a, b = texts.alias("a"), hits.alias("b")
+    met = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
+    read = met.select("b.doc_id", "b.th", "class_id", "diagonal", tokens(F.col("text")).alias("words"))
+    both = beside_items(read, classes, broadcast_bytes).withColumn("n_item", F.size("item"))
     doc_start, item_start = F.greatest(F.col("diagonal"), F.lit(0)), F.greatest(-F.col("diagonal"), F.lit(0))
     placed = both.withColumn("doc_start", doc_start).withColumn("item_start", item_start)
     placed = placed.withColumn("aligned", F.least(F.col("n_item") - F.col("item_start"), F.size("words") - F.col("doc_start")))
@@ -101,15 +118,14 @@ def verify(hits: DataFrame, texts: DataFrame, classes: DataFrame, window: int, s
     summed = compared.where("aligned >= needed").withColumn("sums", sums)
     best = F.expr("array_max(transform(sequence(0, greatest(aligned - w, 0)), i -> get(sums, least(i + w, aligned)) - get(sums, i)))")
     found = summed.withColumn("best", best).where("best >= needed")
-    top = found.groupBy("doc_id", "th", "class_id").agg(
+    return found.groupBy("doc_id", "th", "class_id").agg(
         F.max(F.struct("best", F.element_at("sums", -1).alias("matched"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"), "aligned", "needed")).alias("t")
     )
-    named = top.join(classes.select("class_id", F.explode("item_ids").alias("item_id")), "class_id")
-    return named.select("doc_id", "th", "item_id", (-F.col("t.d")).alias("doc_start"), (-F.col("t.i")).alias("item_start"), "t.aligned", "t.matched", "t.best", "t.needed")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 1 << 26, **options) -> DataFrame:
     """The documents, all their columns, that overlap with no item. Rows are told apart by id, null or not, and text."""
-    found = found_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = cut(found.select(F.col("doc_id").alias("__bad"), F.col("th").alias("__th")).distinct())
-    return docs.join(sized(bad, 1_000_000), docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("__th")), "left_anti")
+    found = found_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, broadcast_bytes=broadcast_bytes, **options)
+    bad = sized(cut(found.select("doc_id", "th").distinct()), broadcast_bytes).alias("b")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("th")).alias("a")
+    return keyed.join(bad, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left_anti").select("doc.*")
