@@ -10,8 +10,10 @@ to it (the payload is stored once). Payloads are matched by SHA-1; a thin (id, d
 the pages' bodies.
 
 Defined results: null html is an empty payload; null urls are written as empty; rows that repeat the smallest
-page_id of a payload are all responses; a null page_id is written as empty and never a revisit. A damaged record
-raises ValueError.
+page_id of a payload are all responses, and share a record id; a null page_id is written as empty and never a revisit;
+a very long payload is one record, held in memory while it is written or read; an empty table gives no file and no
+record; page_id has to be an integer. Only page_id, url and html are read, so other columns cannot clash. A damaged
+record raises ValueError. The archives are the operator's output and stay in their folder.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import cut, shared_dir, sized, text_or_empty, to_batch
+from kelpie.llm.common import cut, integer_id, shared_dir, sized, text_or_empty, to_batch
 
 CHUNK = 1 << 18
 MANIFEST = "file string, records long, bytes long"
@@ -46,12 +48,17 @@ def record_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return digests.join(first, "digest").where(F.col("page_id") != F.col("refers_to")).select("page_id", "digest", "refers_to").distinct()
 
 
+def record_id(page_id, sha: str) -> uuid.UUID:
+    """Of the page and its payload, so that a revisit can name the response wherever that is written."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{sha}")
+
+
 def header(page_id, url: str, kind: str, body: bytes, sha: str, size: int, refers_to) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id(page_id, sha)}>"]
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"), f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {size}"]
     lines += ["X-Page-Id: " + ("" if page_id is None else str(page_id))]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"X-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <urn:uuid:{record_id(refers_to, sha)}>", f"X-Refers-To: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(lines).encode()
 
@@ -65,13 +72,13 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_archives(pages: DataFrame, folder: str, revisits: DataFrame | None = None, file_mb: int = 64, level: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, revisits: DataFrame | None = None, file_mb: int = 64, level: int = 4, broadcast_bytes: int = 1 << 26) -> DataFrame:
     """Writes every page as a record; returns the manifest of the files, computed once and kept."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), text_or_empty("url").alias("url"), text_or_empty("html").cast("binary").alias("html"))
+    base = pages.select(integer_id(pages, "page_id").alias("page_id"), text_or_empty("url").alias("url"), text_or_empty("html").cast("binary").alias("html"))
     base = base.withColumn("digest", F.unhex(F.sha1("html")))
     if revisits is not None:
         # bodies are moved only if there are too many revisits to send to all tasks
-        base = base.join(sized(cut(revisits), broadcast_rows), ["page_id", "digest"], "left")
+        base = base.join(sized(cut(revisits), broadcast_bytes), ["page_id", "digest"], "left")
     else:
         base = base.withColumn("refers_to", F.lit(None).cast("long"))
     limit = file_mb << 20
