@@ -10,9 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.operators import dom
 from kelpie.plans.crawl import CrawlConfig, crawl_many, cut
-from kelpie.plans.scan import Scan, scan_pages, summary
+from kelpie.plans.scan import Scan, fetch_scripts, scan_pages, summary
 from kelpie.report import reports
 from kelpie.sources import web
 from kelpie.sources.rules import default_rules, rules_from_file
@@ -21,8 +20,9 @@ from kelpie.sources.web import parse_header
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kelpie", description="Find leaked credentials in the scripts of web pages.")
-    p.add_argument("url", nargs="+", help="where a crawl starts; https:// is put in front if no scheme is given")
+    p.add_argument("url", nargs="*", help="where a crawl starts; https:// is put in front if no scheme is given")
     p.add_argument("--pages", help="a Parquet table of pages (url, html) that stands for the web; without it pages are fetched")
+    p.add_argument("--sites", help="a CSV of sites (Name, Website), of which each is an entry after those given")
     p.add_argument("-o", "--output", help="a folder for the report; the console without it")
     p.add_argument("-f", "--format", choices=("default", "json"), default="default")
     p.add_argument("-r", "--redact", action="store_true", help="hide all but the first bytes of secrets; not applied to JSON")
@@ -63,9 +63,8 @@ def scan_sites(spark: SparkSession, pages: DataFrame | None, entries: list[str],
     if pages is not None:
         return scan_pages(visited, rules), errors
     visited = cut(visited)
-    scripts = dom.distinct_scripts(dom.wanted_scripts(dom.page_scripts(dom.extract_dom(visited)))).where("kind = 'url'")
     # a checkpoint: every script is fetched once
-    answers = cut(web.fetched(scripts.select(F.col("script_url").alias("url")), config.script_requests()))
+    answers = cut(fetch_scripts(visited, config.script_requests()))
     return scan_pages(visited, rules, web.fetched_scripts(answers)), errors
 
 
@@ -75,7 +74,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("kelpie").getOrCreate()
     if args.verbose or args.quiet:
         spark.sparkContext.setLogLevel(log_level(args.verbose, args.quiet))
-    entries = [u if "://" in u else f"https://{u}" for u in args.url]
+    # what a caller lists stays on the driver: a crawl takes one entry after the other
+    listed = [r.website for r in web.site_list(spark, args.sites).toLocalIterator()] if args.sites else []
+    entries = [u if "://" in u else f"https://{u}" for u in args.url] + listed
+    if not entries:
+        raise SystemExit("no URL and no site is given")
     rules = rules_from_file(args.rules) if args.rules else default_rules()
     scan, errors = scan_sites(spark, spark.read.parquet(args.pages) if args.pages else None, entries, config_of(args), rules)
     findings = scan.findings.persist()

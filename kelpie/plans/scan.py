@@ -7,13 +7,14 @@ deduplication of remote scripts, by URL, and the final distinct counts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.functions.strings import column_of, line_of
 from kelpie.operators import detect, dom, jslex
+from kelpie.sources import web
 from kelpie.sources.rules import Rule
 
 
@@ -31,6 +32,33 @@ class Scan:
         return summary(self.findings, self.scripts, self.pages)
 
 
+@dataclass(frozen=True)
+class Collector:
+    """Options of requests for scripts. with_* methods give changed copies."""
+
+    user_agent: str | None = None
+    headers: tuple[tuple[str, str], ...] = ()
+    timeout: float | None = None
+    timeout_connect: float | None = None
+
+    def with_random_ua(self, on: bool) -> Collector:
+        """A random agent; asked for again, or not wanted, none."""
+        return replace(self, user_agent=web.random_user_agent() if on and self.user_agent is None else None)
+
+    def with_headers(self, headers: list[tuple[str, str]]) -> Collector:
+        return replace(self, headers=(*self.headers, *headers))
+
+    def requests(self) -> web.Requests:
+        agent = (("User-Agent", self.user_agent),) if self.user_agent else ()
+        return web.Requests((*agent, *self.headers), self.timeout, self.timeout_connect)
+
+
+def fetch_scripts(pages: DataFrame, requests: web.Requests) -> DataFrame:
+    """What came of the remote scripts of pages (url, html), each fetched once; a plan that fetches, so to be kept."""
+    scripts = dom.distinct_scripts(dom.wanted_scripts(dom.page_scripts(dom.extract_dom(pages)))).where("kind = 'url'")
+    return web.fetched(scripts.select(F.col("script_url").alias("url")), requests)
+
+
 def scan_pages(pages: DataFrame, rules: list[Rule] | None = None, fetched: DataFrame | None = None, url: str = "url", html: str = "html") -> Scan:
     """pages: url, html and perhaps content_type; fetched: script_url, source and perhaps content_type.
 

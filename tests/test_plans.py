@@ -3,7 +3,7 @@ import json
 import pytest
 from kelpie import cli
 from kelpie.plans import crawl as c
-from kelpie.plans.scan import scan_pages, scan_text
+from kelpie.plans.scan import Collector, scan_pages, scan_text
 from kelpie.plans.sites import site_pages
 from kelpie.report import reports
 from kelpie.sources import web
@@ -67,6 +67,12 @@ def test_config():
         config.with_max_walks(0)
 
 
+def test_collector_options():
+    asked = Collector().with_random_ua(True)
+    assert asked.user_agent in web.USER_AGENTS and asked.with_random_ua(True).user_agent is None and asked.with_random_ua(False).user_agent is None
+    assert asked.with_headers([("A", "b")]).with_headers([("C", "d")]).requests().headers == (("User-Agent", asked.user_agent), ("A", "b"), ("C", "d"))
+
+
 def test_scan_reports_and_summary(spark, tmp_path):
     source = f'var a = 1;\nvar k = "{AWS}";'
     html = f"<script>{source}</script><script src='/r.js'></script><script>let bad = '</script>"
@@ -227,6 +233,11 @@ def test_several_entries_share_a_cache(spark, tmp_path, capsys):
     spark.createDataFrame([("https://s.com/", f'<script>k = "{AWS}"</script>'), ("https://t.com/", f'<script>k = "{AWS}"</script>')], "url string, html string").write.parquet(table)
     assert cli.main(["s.com", "t.com", "--pages", table, "-q"], spark) == 0
     assert "Found 1 key(s) across 2 script(s) and 2 page(s)" in capsys.readouterr().out
+    (tmp_path / "sites.csv").write_text("Name,Website\none,s.com\ntwo,https://t.com\n")
+    assert cli.main(["--sites", str(tmp_path / "sites.csv"), "--pages", table, "-f", "json"], spark) == 0
+    assert capsys.readouterr().out.count(AWS) == 2
+    with pytest.raises(SystemExit):
+        cli.main(["--pages", table], spark)
     assert [cli.log_level(v, q) for v, q in ((0, 0), (1, 0), (5, 0), (0, 1), (0, 9))] == ["WARN", "INFO", "DEBUG", "ERROR", "OFF"]
 
 
