@@ -319,30 +319,22 @@ class Table:
 
 
 class Trie:
-    """The model.
+    """The model. nodes: for each order 0..ORDER its sorted (context, symbol) keys and their counts."""
 
-    nodes: for each order 0..ORDER its sorted (context, symbol) keys and their counts. totals: for each order the
-    sorted contexts and how often anything followed them, nodes that were left out included; what those took goes
-    to the escape. Without totals, nothing was left out.
-    """
-
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], totals: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.nodes = nodes
-        # per order: context, total, symbols, what its symbols take one order below, what left-out nodes took
+        # per order: context, total, symbols, what its symbols take one order below
         self.contexts: list[tuple[np.ndarray, ...]] = []
         for k, (keys, counts) in enumerate(nodes):
             ctx = keys >> 8
             first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(ctx) else np.zeros(0, np.int64)
-            kept = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
-            total = kept
-            if totals is not None and len(first):
-                total = totals[k][1][found(totals[k][0], ctx[first])[0]]
+            total = np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
             symbols = np.diff(np.concatenate([first, [len(keys)]])) if len(first) else np.zeros(0, np.int64)
             below = np.zeros(len(first), np.int64)
             if k and len(first):
                 at, there = found(nodes[k - 1][0], keys & mask(k - 1))
                 below = np.add.reduceat(np.where(there, nodes[k - 1][1][at], 0), first)
-            self.contexts.append((ctx[first], total, symbols, below, total - kept))
+            self.contexts.append((ctx[first], total, symbols, below))
 
     @cached_property
     def table(self) -> Table:
@@ -365,12 +357,12 @@ class Trie:
         live = np.arange(len(g))
         for k in range(ORDER, -1, -1):
             key = g[live] & mask(k)
-            ctxs, total, symbols, below, rest = self.contexts[k]
+            ctxs, total, symbols, below = self.contexts[k]
             at, known = found(ctxs, key >> 8)
             if not known.any():
                 continue
             here, at, key = live[known], at[known], key[known]
-            weight, escapes = 2 * (total[at] - excluded[here]), 2 * rest[at] + symbols[at] - symbols_gone[here]
+            weight, escapes = 2 * (total[at] - excluded[here]), symbols[at] - symbols_gone[here]
             node, seen = found(self.nodes[k][0], key)
             share = np.where(seen, 2 * self.nodes[k][1][node] - 1, escapes)
             some = weight > 0
