@@ -8,17 +8,20 @@ node, keep it and decide each child, or drop its whole subtree.
 
 The model is trained here, on pages made by page_maker.py; it is a few kilobytes and is sent with the tasks.
 
-Defined results: a null or empty page, and one without text, gives empty text; markup that never ends is read to
-the end of the page; svg, select, button, template, noscript and iframe are left out from their start to their end
-tag, or alone where they close themselves or have no end tag; white space is str.split()'s; a line break inside a block is white space; unknown character
-references stay as they are; rows that repeat give a row each. Only page_id, url and html are read.
+Defined results: a null or empty page, and one without text, gives empty text; an empty table gives an empty result;
+markup that never ends is read to the end of the page; a very long page is parsed whole, in memory in proportion to
+it; svg, select, button, template, noscript and iframe are left out from their start to their end tag, or alone where
+they close themselves or have no end tag; a slash closes no other element; white space is str.split()'s; a line break
+inside a block is white space; unknown character references stay as they are; where keeping and dropping a subtree
+are alike likely it is dropped; rows that repeat give a row each. Only page_id, url and html are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -33,6 +36,8 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A slash at the end that is no part of an unquoted value.
+SELF_CLOSED = re.compile(r"(?:\A|[\s\"']|(?:\A|\s)[^\s=\"']+)/\Z")
 TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
@@ -63,7 +68,7 @@ KINDS = {
     "notice": "cookie cookies consent notice alert gdpr popup modal overlay paywall warning privacy toast",
     "comment": "comment comments reply replies discussion disqus respond commentlist thread reader",
     "form": "form login signup subscribe newsletter search register input",
-    "social": "share social follow tags meta byline author tools print",
+    "social": "share social follow tags meta byline author tools print date published",
 }
 KIND_OF = {w: k for k, name in enumerate(KINDS) for w in KINDS[name].split()}
 HEADINGS = re.compile(r"^(comments?|\d+ comments?|related|share|leave a reply|responses?|subscribe|newsletter|advertisement|sponsored)\b", re.I)
@@ -78,7 +83,7 @@ class Node:
         self.children: list[int] = []
 
 
-@cache
+@lru_cache(1 << 14)
 def kinds_of(value: str) -> tuple[int, ...]:
     return tuple(sorted({k for t in TOKEN.findall(value) if (k := KIND_OF.get(t.lower())) is not None}))
 
@@ -133,7 +138,7 @@ def parse(html: str) -> list[Node]:
             at = end.end() if end else n
             continue
         if tag in DROPPED:
-            if not attributes.endswith("/"):
+            if not SELF_CLOSED.search(attributes):
                 parent = nodes[open_[-1][1]]
                 undo.append((len(open_), len(nodes), len(parent.parts), len(parent.children)))
                 open_.append((tag, open_[-1][1]))
@@ -174,12 +179,14 @@ def parse(html: str) -> list[Node]:
             nodes[parent].parts.append(child)
             nodes[parent].children.append(child)
             open_.append((tag, child))
-        elif not attributes.endswith("/"):
+        else:
+            # a slash closes no element of HTML
             open_.append((tag, parent))
     return nodes
 
 
-N_FEATURES = 27 + len(TAGS) + 2 * len(KINDS)
+OWN = 27
+N_FEATURES = OWN + len(TAGS) + 2 * len(KINDS)
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -251,16 +258,16 @@ def features(nodes: list[Node]) -> np.ndarray:
         inherited[k] = max(inherited[q], first_heading[q], prev_kind[q])
     up = np.maximum(parent, 0)
     chars = np.maximum(total[:, 0], 1)
-    x[:, :27] = np.column_stack([
+    x[:, :OWN] = np.column_stack([
         np.log1p(total[:, 0]), np.log1p(total[:, 1]), total[:, 2] / chars, total[:, 3] / np.maximum(total[:, 1], 1), total[:, 4] / np.maximum(total[:, 1], 1),
         np.log1p(total[:, 0] / tags), np.log1p(tags), np.log1p(paragraphs), total[:, 0] / root, np.log1p(own[:, 0]), own[:, 2] / np.maximum(own[:, 0], 1),
         np.minimum(depth, 30), np.log1p(place), place / np.maximum(count, 1), np.log1p(count), largest, np.log1p(before), np.log1p(after),
         np.log1p(total[up, 0]), total[up, 2] / np.maximum(total[up, 0], 1), np.log1p(paragraphs[up]), hot[up, 0] + hot[up, 1], in_edge,
         heading, np.maximum(first_heading, prev_kind), inherited, np.array([node.named for node in nodes], float),
     ])
-    x[:, 27 : 27 + len(TAGS)] = hot
-    x[:, 27 + len(TAGS) : 27 + len(TAGS) + len(KINDS)] = mine
-    x[:, 27 + len(TAGS) + len(KINDS) :] = above
+    x[:, OWN : OWN + len(TAGS)] = hot
+    x[:, OWN + len(TAGS) : OWN + len(TAGS) + len(KINDS)] = mine
+    x[:, OWN + len(TAGS) + len(KINDS) :] = above
     return x
 
 
@@ -321,7 +328,7 @@ def text_of(nodes: list[Node], keep: np.ndarray) -> str:
 
 
 @cache
-def trained(pages: int = 900, seed: int = 7, trees: int = 80) -> gbdt.Boosted:
+def trained(pages: int = 1500, seed: int = 7, trees: int = 80) -> gbdt.Boosted:
     """The model, fitted on generated pages; the same each time."""
     from kelpie.llm import page_maker
 

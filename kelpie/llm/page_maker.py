@@ -15,8 +15,10 @@ NOISE = {
     "notice": (["div", "section", "dialog", "p"], ["cookie-notice", "consent", "alert", "notice", "gdpr-banner", "paywall", "popup", "modal"]),
     "comments": (["section", "div", "ol", "aside"], ["comments", "comment-list", "replies", "discussion", "respond", "reader-comments"]),
     "form": (["form", "div"], ["newsletter", "login", "search-form", "subscribe", "signup"]),
+    "byline": (["div", "p", "span", "footer"], ["byline", "entry-meta", "post-meta", "author", "meta", "tags", "entry-footer", "author-bio", "date", "published"]),
     "share": (["div", "ul", "p"], ["share", "social", "tags", "byline-tools", "follow-us"]),
 }
+TITLES = ["entry-header", "post-header", "article-header", "page-title", "headline", "title", "entry-title", "story-head"]
 CONTENT = ["content", "article-body", "post", "entry-content", "story", "main", "post-content", "page-content", "text", "body-text"]
 
 
@@ -81,7 +83,10 @@ class Maker:
         return f"<figure><img src=x.png><figcaption>{self.words(6, main)}</figcaption></figure>"
 
     def links(self, n: int, items: bool) -> str:
-        one = [f'<a href="/{self.word(False)}">{self.words(self.r.choice([1, 1, 1, 2, 5]), False)}</a>' for _ in range(n)]
+        # unquoted addresses may end in a slash, which closes nothing
+        quoted = self.r.random() < 0.8
+        address = lambda: f'"/{self.word(False)}"' if quoted else f"/{self.word(False)}/"
+        one = [f"<a href={address()}>{self.words(self.r.choice([1, 1, 1, 2, 5]), False)}</a>" for _ in range(n)]
         return "<ul>" + "".join(f"<li>{a}</li>" for a in one) + "</ul>" if items else " | ".join(one)
 
     def attribute(self, tokens: list[str], telling: float) -> str:
@@ -110,6 +115,8 @@ class Maker:
             head = self.r.choice(["<h2>Comments</h2>", "<h3>3 comments</h3>", "", ""])
             item = "li" if tag == "ol" else self.r.choice(["div", "p", "article"])
             body = head + "".join(f"<{item}{self.attribute(['comment', 'reply', 'comment-body'], 0.6)}>{self.r.choice(['', '<b>Nime</b> '])}{self.inline(self.size(), False)}</{item}>" for _ in range(self.r.randint(1, 6)))
+        elif kind == "byline":
+            body = "By " * (self.r.random() < 0.4) + self.words(self.r.choice([1, 2, 4, 8]), False) + (self.links(self.r.choice([1, 2]), False) if r < 0.4 else "")
         elif kind == "form":
             body = f"<label>{self.words(3, False)}</label><input name=q><p>{self.words(self.r.choice([3, 12, 30]), False)}</p><button>Go</button>"
         elif kind == "notice":
@@ -121,19 +128,37 @@ class Maker:
 
     def page(self) -> tuple[str, set[str]]:
         r = self.r
-        blocks = [f"<h1>{self.words(r.randint(2, 10), True)}</h1>"] if r.random() < 0.85 else []
-        if blocks and r.random() < 0.12:
-            blocks = [f"<header>{blocks[0]}</header>"]
-        blocks += [self.block(True) for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25]))]
-        inside = [k for k in ("advert", "share", "comments", "side", "form", "notice", "menu") if r.random() < 0.16]
+        title = f"<h1{self.attribute(TITLES, 0.25)}>{self.words(r.randint(2, 10), True)}</h1>" if r.random() < 0.85 else ""
+        if title and r.random() < 0.25:
+            t = r.choice(["header", "header", "div"])
+            title = f"<{t}{self.attribute(TITLES, 0.7)}>{title}{self.noise('byline') if r.random() < 0.3 else ''}</{t}>"
+        # some titles stand before the block of the text, with something between
+        apart = title if r.random() < 0.2 else ""
+        blocks = [title] if title and not apart else []
+        if r.random() < 0.1:
+            # text that no element but line breaks divides
+            blocks.append(r.choice(["<br>", "<br><br>", "<br/>\n<br/>"]).join(self.words(self.size(), True) for _ in range(r.choice([2, 3, 6]))))
+        else:
+            blocks += [self.block(True) for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25]))]
+        inside = [k for k in ("advert", "share", "comments", "side", "form", "notice", "menu", "byline") if r.random() < 0.16]
         for k in inside:
             at = len(blocks) if k == "comments" else r.randint(1, len(blocks))
             blocks.insert(at, self.noise(k))
         body = "\n".join(blocks) if r.random() < 0.5 else "".join(blocks)
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
-        body = f"<{tag}{self.attribute(CONTENT, 0.4 if tag in ('article', 'main') else 0.85)}>{body}</{tag}>"
         if tag == "td":
-            body = f"<table><tr><td>{self.links(4, True)}</td>{body}</tr></table>"
+            body, apart = apart + body, ""
+        if tag == "td" or r.random() < 0.93:
+            body = f"<{tag}{self.attribute(CONTENT, 0.4 if tag in ('article', 'main') else 0.85)}>{body}</{tag}>"
+        if tag == "td":
+            # a page laid out as a table
+            rows = [f"<tr><td colspan=2>{self.links(r.randint(2, 6), False)}</td></tr>" if r.random() < 0.5 else "", f"<tr><td>{self.links(4, r.random() < 0.6)}</td>{body}</tr>"]
+            rows.append(f"<tr><td colspan=2>{r.choice(['Copyright 1998 ', '&copy; ', ''])}{self.words(r.choice([1, 3, 8]), False)}{self.links(r.choice([0, 2]), False)}</td></tr>" if r.random() < 0.5 else "")
+            body = f"<table>{''.join(rows)}</table>"
+        if apart:
+            between = "".join(self.noise(k) for k in ("byline", "share", "advert") if r.random() < 0.35)
+            t = r.choice(["div", "div", "main", "section", "article"])
+            body = f"<{t}{self.attribute([*CONTENT, 'wrapper', 'col-8', 'layout'], 0.7)}>{apart}{between}{body}</{t}>"
         for _ in range(r.choice([0, 0, 1, 2])):
             t = r.choice(["div", "main", "section"])
             extra = self.noise(r.choice(["side", "advert", "comments"])) if r.random() < 0.25 else ""
