@@ -3,8 +3,9 @@
 A text is cut into sentences (after . ! ? or an ellipsis and white space, and at line ends), and these after the word
 with the least hash of every `window` consecutive words they hold. So no piece has more than `window` words, and equal
 passages are cut alike but for their first and last window - 1 words, wherever they stand: at a window of 8, every 50
-words that occur twice hold four equal cuts and a whole span of 20 words. "Sentence" is such a piece below. From
-every sentence a span starts: the shortest run of at least `min_sentences` sentences with at least `min_words` words.
+words that occur twice hold 35 words between equal cuts, and so a whole span of 28 words, wherever it begins. A lower
+bound on spans would take more of what repeats by chance or custom, a higher one lose passages. "Sentence" is such a
+piece below. From every sentence a span starts: the shortest run of at least `min_sentences` sentences with at least `min_words` words.
 Spans are hashed over their lower-cased words and met over the whole corpus. The first occurrence (smallest
 document, then position) stays; a sentence covered by any other is removed.
 
@@ -39,7 +40,7 @@ from kelpie.llm.common import cut, order_key, pack, pack_sorted, shards_for, tex
 #: A word after which a sentence ends.
 LAST = re.compile(r"[.!?…。！？][\"'”’)\]]*\Z")
 PIECE = re.compile(r"\S+\s*")
-MIN_SENTENCES, MIN_WORDS, WINDOW = 3, 20, 8
+MIN_SENTENCES, MIN_WORDS, WINDOW = 3, 28, 8
 #: Odd bases of the two hashes of a run of words.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LOW32 = np.uint64(0xFFFFFFFF)
