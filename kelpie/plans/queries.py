@@ -269,9 +269,9 @@ def crawl_site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A site whose pages lead to one another in a row of forty, each by way of its second link."""
+    """A site whose pages lead to one another in a row of fifty, each by way of its second link."""
     body = lambda k: f'<a href="/p{k}">this</a><a href="/p{k + 1}">next</a>'
-    site = values(spark, [(f"https://row.example/p{k}", body(k)) for k in range(40)], "url string, html string")
+    site = values(spark, [(f"https://row.example/p{k}", body(k)) for k in range(50)], "url string, html string")
     return crawling.crawl(spark, site, "https://row.example/p0", crawling.CrawlConfig(user_agent=None)).visited.select("url", "depth")
 
 
@@ -378,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT page_url AS script_url, rule_id, key_name, secret, (len(p) - len(replace(p, chr(10), '')) + 1)::INTEGER AS line, (len(string_split(p, chr(10))[-1]) + 1)::INTEGER AS "column" FROM q""",
         "page_summary": f"WITH {pages_found} SELECT (SELECT count(DISTINCT secret) FROM f) AS keys_found, (SELECT count(*) FROM s WHERE source <> '') AS scripts_checked, (SELECT count(*) FROM pages) AS pages_crawled",
         "capture_places": f"""SELECT case_id::INTEGER AS case_id, group_idx::INTEGER AS group_idx, start::INTEGER AS start, (start + strlen(secret))::INTEGER AS "end", secret FROM (VALUES {places}) t(case_id, group_idx, start, secret)""",
-        "crawl_chain": "SELECT 'https://row.example/p' || k AS url, k::INTEGER AS depth FROM range(40) t(k)",
+        "crawl_chain": "SELECT 'https://row.example/p' || k AS url, k::INTEGER AS depth FROM range(50) t(k)",
         "canonical_urls": f"""SELECT page_id, {CANON} AS canon, {HOST} AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^/]*//[^/?#]*') || '/' AS root
           FROM (SELECT *, {KEPT} AS kept FROM pages)""",
         "url_dedup": f"SELECT DISTINCT {CANON} AS canon FROM (SELECT *, {KEPT} AS kept FROM pages)",

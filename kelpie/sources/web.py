@@ -67,7 +67,7 @@ class Requests:
 
 def opener(requests: Requests, jar: CookieJar) -> urllib.request.OpenerDirector:
     """Opens URLs with a time to connect and one to wait for data, and with cookies where they are kept."""
-    connect, read = requests.timeout_connect or requests.timeout or 30.0, requests.timeout or 30.0
+    connect, read = requests.timeout_connect or requests.timeout or 10.0, requests.timeout or 10.0
 
     def timed(kind: type) -> type:
         class Timed(kind):
