@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,12 +16,19 @@ def byte_values(c: Column) -> Column:
     return F.regexp_extract_all(F.hex(c.cast("binary")), F.lit(".."), F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: in a lambda, what stands outside is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def byte_histogram(c: Column) -> Column:
     """array<struct<byte, n>>: how often each byte occurs, by sorting the bytes and telling where each begins."""
-    ordered = F.array_sort(byte_values(c))
-    n = F.size(ordered)
-    begins = F.filter(F.transform(ordered, lambda b, i: F.when((i == 0) | (F.get(ordered, i - 1) != b), i)), lambda i: i.isNotNull())
-    return F.transform(begins, lambda i, k: F.struct(F.get(ordered, i).alias("byte"), (F.coalesce(F.get(begins, k + 1), n) - i).alias("n")))
+
+    def counted(ordered: Column) -> Column:
+        marks = F.transform(ordered, lambda b, i: F.when((i == 0) | (F.get(ordered, i - 1) != b), i))
+        return bound(F.filter(marks, lambda i: i.isNotNull()), lambda begins: F.transform(begins, lambda i, k: F.struct(F.get(ordered, i).alias("byte"), (F.coalesce(F.get(begins, k + 1), F.size(ordered)) - i).alias("n"))))
+
+    return bound(F.array_sort(byte_values(c)), counted)
 
 
 def shannon_entropy(c: Column) -> Column:

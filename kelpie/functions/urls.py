@@ -61,7 +61,8 @@ def resolve(root: Column, href: Column) -> Column:
         one = lru_cache(100_000)(resolve_one)
         return pd.Series([one(r, h) for r, h in zip(roots, hrefs, strict=True)], dtype=object)
 
-    return read(root, href)
+    # else the optimizer puts a copy of the call under every filter on its result
+    return read.asNondeterministic()(root, href)
 
 
 def site_root(url: Column) -> Column:

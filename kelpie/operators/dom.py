@@ -97,9 +97,24 @@ def page_links(dom: DataFrame) -> DataFrame:
     return resolved.where("url is not null").where(urls.is_page_path(F.col("url"))).select("page_url", "ordinal", "url")
 
 
+def is_javascript() -> Column:
+    return F.col("type").isNull() | F.contains(F.col("type"), F.lit("javascript"))
+
+
+def embedded_scripts(dom: DataFrame) -> DataFrame:
+    """The embedded ones of page_scripts(): no URL is resolved for them."""
+    rows = dom.where(F.col("kind") == "embedded").where(is_javascript()).where("body <> ''")
+    return rows.select("page_url", "ordinal", "kind", F.lit(None).cast("string").alias("script_url"), F.col("body").alias("source"))
+
+
+def remote_scripts(dom: DataFrame) -> DataFrame:
+    """The remote ones of page_scripts()."""
+    return page_scripts(dom.where(F.col("kind") == "remote"))
+
+
 def page_scripts(dom: DataFrame) -> DataFrame:
     """page_url, ordinal, kind, script_url, source: JavaScript elements; embedded ones with their text."""
-    js = dom.where(F.col("kind").isin("remote", "embedded")).where(F.col("type").isNull() | F.contains(F.col("type"), F.lit("javascript")))
+    js = dom.where(F.col("kind").isin("remote", "embedded")).where(is_javascript())
     remote = F.col("kind") == "remote"
     url = F.when(remote, urls.resolve(urls.site_root(F.col("page_url")), F.when(remote, F.col("href"))))
     rows = js.select("page_url", "ordinal", F.when(remote, "url").otherwise("embedded").alias("kind"), url.alias("script_url"), F.col("body").alias("source"))

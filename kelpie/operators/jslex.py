@@ -693,7 +693,8 @@ def parse_script(source: Column) -> Column:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 12_000))
         return pd.DataFrame([read_literals(s) for s in sources], columns=["literals", "error"])
 
-    return read(source)
+    # else the optimizer puts a copy of the call under every filter on its result
+    return read.asNondeterministic()(source)
 
 
 def with_literals(scripts: DataFrame, source: str = "source") -> DataFrame:

@@ -53,9 +53,14 @@ class Collector:
         return web.Requests((*agent, *self.headers), self.timeout, self.timeout_connect)
 
 
+def wanted_remote(elements: DataFrame) -> DataFrame:
+    """Remote scripts to be read, each URL once."""
+    return dom.wanted_scripts(dom.remote_scripts(elements)).dropDuplicates(["script_url"])
+
+
 def fetch_scripts(pages: DataFrame, requests: web.Requests) -> DataFrame:
     """What came of the remote scripts of pages (url, html), each fetched once; a plan that fetches, so to be kept."""
-    scripts = dom.distinct_scripts(dom.wanted_scripts(dom.page_scripts(dom.extract_dom(pages)))).where("kind = 'url'")
+    scripts = wanted_remote(dom.extract_dom(pages))
     return web.fetched(scripts.select(F.col("script_url").alias("url")), requests)
 
 
@@ -67,14 +72,14 @@ def scan_pages(pages: DataFrame, rules: list[Rule] | None = None, fetched: DataF
     """
     if "content_type" in pages.columns:
         pages = pages.where(F.col("content_type").isNull() | F.contains("content_type", F.lit("html")))
-    found = dom.distinct_scripts(dom.wanted_scripts(dom.page_scripts(dom.extract_dom(pages, url, html))))
-    embedded = found.where("kind = 'embedded'").select("page_url", "ordinal", "kind", F.col("page_url").alias("script_url"), "source")
+    elements = dom.extract_dom(pages, url, html)
+    embedded = dom.embedded_scripts(elements).withColumn("script_url", F.col("page_url"))
     scripts = embedded
     if fetched is not None:
         if "content_type" in fetched.columns:
             fetched = fetched.where(F.contains("content_type", F.lit("javascript")))
         bodies = fetched.select("script_url", F.col("source").alias("__body"))
-        remote = found.where("kind = 'url'").drop("source").join(bodies, "script_url").select("page_url", "ordinal", "kind", "script_url", F.col("__body").alias("source"))
+        remote = wanted_remote(elements).drop("source").join(bodies, "script_url").select("page_url", "ordinal", "kind", "script_url", F.col("__body").alias("source"))
         scripts = embedded.unionByName(remote)
     return scan_scripts(scripts, rules, pages)
 

@@ -12,8 +12,11 @@ from functools import lru_cache
 from importlib import resources
 from pathlib import Path
 
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 log = logging.getLogger(__name__)
 
@@ -137,9 +140,12 @@ def rules_from_file(path: str) -> list[Rule]:
 
 
 def rules_df(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
-    """The rule table; an empty list gives an empty table."""
+    """The rule table; an empty list gives an empty table. It is part of the plan: no task makes it."""
     rules = default_rules() if rules is None else rules
-    return spark.createDataFrame([(r.rule_idx, r.rule_id, r.name_re, r.value_re, r.n_groups, r.min_length, list(r.keywords), r.min_entropy, r.description, r.plain) for r in rules], SCHEMA)
+    schema = StructType.fromDDL(SCHEMA)
+    rows = [(r.rule_idx, r.rule_id, r.name_re, r.value_re, r.n_groups, r.min_length, list(r.keywords), r.min_entropy, r.description, r.plain) for r in rules]
+    table = pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
 
 
 #: Characters of runs that are told apart from the rest of a text in one pass: Unicode's word characters and these.
