@@ -93,10 +93,10 @@ class Rows:
 
     def __init__(self, rows: list[np.ndarray]) -> None:
         self.n = len(rows)
-        self.size = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(self.n), self.size)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.names, self.ids = np.unique(flat, return_inverse=True)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.names = np.unique(flat)
+        self.ids = np.searchsorted(self.names, flat).astype(np.int32)
 
     def select(self, y: np.ndarray, use: np.ndarray, most: int) -> np.ndarray:
         """The features that tell y best on the rows in use: largest |z| of the difference of two rates.
@@ -123,8 +123,8 @@ def fit(rows: Rows, y: np.ndarray, given: np.ndarray, use: np.ndarray, most: int
         constant = -30.0 if rate == 0 else 30.0
         return (lambda: np.full(rows.n, rate)), Linear(constant, {}, [0.0] * given.shape[1])
     chosen = rows.select(y, use, most)
-    at = np.full(len(rows.names), -1)
-    at[chosen] = np.arange(len(chosen))
+    at = np.full(len(rows.names), -1, np.int32)
+    at[chosen] = np.arange(len(chosen), dtype=np.int32)
     slot = at[rows.ids]
     r, c = rows.row[slot >= 0], slot[slot >= 0]
     # rows' features are scaled alike, so one step size fits all: Adam over the full batch
@@ -255,7 +255,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
     order = sorted(range(len(got["id"])), key=lambda k: (got["id"][k], got["f"][k]))
     fold = np.array([fold_of(got["id"][k]) for k in order], np.int64)
     y = {name: np.array([got["y"][k][c] > 0 for k in order], bool) for c, name in enumerate(categories)}
-    return Rows([np.frombuffer(got["f"][k], "<i4").astype(np.int64) for k in order]), fold, y
+    return Rows([np.frombuffer(got["f"][k], "<i4") for k in order]), fold, y
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_train: int = 16_000, max_features: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
