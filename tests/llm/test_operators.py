@@ -518,10 +518,10 @@ def test_faults_of_the_expansion_show(spark, monkeypatch):
     turns, whole = chat.format_turns(df), chat.expand
     assert sorted((r.conv_id, r.loss_chars) for r in chat.digest(turns).collect()) == [(1, 2), (2, 0)]
     for column, wrong in (("context_chars", F.col("context_chars") + 1), ("target", F.concat("target", F.lit("x"))), ("example", F.col("example") + 1)):
-        monkeypatch.setattr(chat, "expand", lambda t, c=column, w=wrong: whole(t).withColumn(c, w))
+        monkeypatch.setattr(chat, "expand", lambda t, c=column, w=wrong, **k: whole(t, **k).withColumn(c, w))
         with pytest.raises(Exception, match="does not stand where its context ends"):
             chat.digest(turns).collect()
-    monkeypatch.setattr(chat, "expand", lambda t: whole(t).withColumn("loss_chars", F.lit(0)))
+    monkeypatch.setattr(chat, "expand", lambda t, **k: whole(t, **k).withColumn("loss_chars", F.lit(0)))
     assert {r.loss_chars for r in chat.digest(turns).collect()} == {0}
 
 
