@@ -77,6 +77,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+#: Every diagonal on which a document and an item share a token, and its best stretch: no seeds, no candidates.
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents)
+), i AS (
+  SELECT row_number() OVER () AS c, item_id, words, len(words) AS n
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE len(words) >= 5
+), x AS (
+  SELECT k, words[p] AS word, p FROM (SELECT k, words, unnest(range(1, len(words) + 1)) AS p FROM d)
+), y AS (
+  SELECT c, words[q] AS word, q FROM (SELECT c, words, unnest(range(1, len(words) + 1)) AS q FROM i)
+), m AS (
+  SELECT k, c, p - q AS diagonal, q FROM x JOIN y USING (word)
+), f AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY k, c, diagonal) AS matched FROM m) WHERE matched >= 4
+), s AS (
+  SELECT *, count(*) OVER (PARTITION BY k, c, diagonal ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near FROM f
+), g AS (
+  SELECT k, c, greatest(diagonal, 0) AS doc_start, greatest(-diagonal, 0) AS item_start, max(near) AS best, any_value(matched) AS matched FROM s GROUP BY k, c, diagonal
+), h AS (
+  SELECT *, least(n - item_start, len(d.words) - doc_start) AS aligned, ceil(least(13, n) * 0.8::DOUBLE) AS needed FROM g JOIN d USING (k) JOIN i USING (c)
+)
+SELECT doc_id, item_id, doc_start::INTEGER AS doc_start, item_start::INTEGER AS item_start, aligned::INTEGER AS aligned, matched::INTEGER AS matched, best::INTEGER AS best, needed::INTEGER AS needed
+FROM h WHERE best >= needed AND aligned >= needed
+QUALIFY row_number() OVER (PARTITION BY k, c ORDER BY best DESC, matched DESC, doc_start, item_start) = 1
+"""
+
 OP6_SQL = rf"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -142,4 +169,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM v
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_chat": OP6_SQL, "op8_quality": OP8_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op6_chat": OP6_SQL, "op8_quality": OP8_SQL, "op10_warc": OP10_SQL}
