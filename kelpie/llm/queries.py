@@ -33,7 +33,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removals(table(spark, sf_dir, "documents"))
+    found = substrings.removals(table(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
+    return found.withColumn("removed", places)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +106,51 @@ FROM h WHERE best >= needed AND aligned >= needed
 QUALIFY row_number() OVER (PARTITION BY k, c ORDER BY best DESC, matched DESC, doc_start, item_start) = 1
 """
 
+#: Sentences and spans by the definition, word by word; spans are compared as texts.
+OP5_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^@]+[@]*') AS parts FROM documents
+), e AS (
+  SELECT k, doc_id, i, parts[i] AS part, regexp_extract(parts[i], '^[^@]+') AS word, i = len(parts) AS final FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM t)
+), w AS (
+  SELECT *, lower(word) AS low, left(md5(lower(word)), 8) || lpad((999999999 - i)::VARCHAR, 9, '0') AS rank,
+    (final OR contains(substr(part, length(word) + 1), chr(10)) OR regexp_matches(word, '[.!?…。！？]["''”’)\]]*$'))::INTEGER AS last FROM e
+), s AS (
+  SELECT *, sum(last) OVER (PARTITION BY k ORDER BY i) - last AS sentence FROM w
+), c AS (
+  SELECT DISTINCT k, 999999999 - right(least_, 9)::BIGINT AS i, true AS chosen
+  FROM (SELECT k, min(rank) OVER f AS least_, count(*) OVER f AS n FROM s WINDOW f AS (PARTITION BY k, sentence ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE n = 8
+), q AS (
+  SELECT s.*, greatest(last, coalesce(chosen, false)::INTEGER) AS stop FROM s LEFT JOIN c USING (k, i)
+), p AS (
+  SELECT *, sum(stop) OVER (PARTITION BY k ORDER BY i) - stop AS piece FROM q
+), g AS (
+  SELECT k, any_value(doc_id) AS doc_id, piece, min(i) AS a, max(i) AS z FROM p GROUP BY k, piece
+), h AS (
+  SELECT g.k, g.doc_id, g.piece, g.a, min(j.piece) AS to_piece, min(j.z) AS z
+  FROM g JOIN g AS j ON j.k = g.k AND j.piece BETWEEN g.piece + 2 AND g.piece + 27 AND j.z >= g.a + 27 GROUP BY ALL
+), l AS (
+  SELECT k, list(low ORDER BY i) AS lows FROM p GROUP BY k
+), x AS (
+  SELECT h.*, array_to_string(lows[a:z], ' ') AS said FROM h JOIN l USING (k)
+), y AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY said) AS first, row_number() OVER (PARTITION BY said, k ORDER BY piece) AS nth FROM x
+), u AS (
+  SELECT DISTINCT g.k, g.piece, true AS gone FROM y JOIN g ON g.k = y.k AND g.piece BETWEEN y.piece AND y.to_piece WHERE y.doc_id > y.first OR y.nth > 1
+), o AS (
+  SELECT p.k, p.doc_id, p.i, p.piece, p.part, coalesce(gone, false) AS gone, sum(length(part)) OVER (PARTITION BY k ORDER BY i) AS upto FROM p LEFT JOIN u USING (k, piece)
+), b AS (
+  SELECT o.*, length(t.text) - max(upto) OVER (PARTITION BY k) AS lead, left(t.text, (length(t.text) - max(upto) OVER (PARTITION BY k))::BIGINT) AS blank,
+    i - row_number() OVER (PARTITION BY k, gone ORDER BY i) AS island FROM o JOIN t USING (k)
+), r AS (
+  SELECT k, min(i) AS i, (CASE WHEN min(i) = 1 THEN 0 ELSE min(lead + upto - length(part)) END)::BIGINT || '-' || max(lead + upto)::BIGINT AS place FROM b WHERE gone GROUP BY k, island
+)
+SELECT any_value(doc_id) AS doc_id, count(DISTINCT CASE WHEN gone THEN piece END)::INTEGER AS n_removed, count(DISTINCT piece)::INTEGER AS n_sentences,
+  (SELECT string_agg(place, ',' ORDER BY i) FROM r WHERE r.k = b.k) AS removed,
+  (CASE WHEN bool_or(gone AND i = 1) THEN '' ELSE any_value(blank) END) || coalesce(string_agg(part, '' ORDER BY i) FILTER (NOT gone), '') AS text
+FROM b GROUP BY k HAVING bool_or(gone)
+""".replace("@", r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+
 OP6_SQL = rf"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -169,4 +216,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM v
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op6_chat": OP6_SQL, "op8_quality": OP8_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_substrings": OP5_SQL, "op6_chat": OP6_SQL, "op8_quality": OP8_SQL, "op10_warc": OP10_SQL}

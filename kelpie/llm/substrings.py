@@ -23,6 +23,7 @@ unchanged, byte for byte. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -30,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +46,12 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LOW32 = np.uint64(0xFFFFFFFF)
 
 
+def word_hashes(word: str) -> tuple[int, int]:
+    """The two halves of the MD5 of the lower-cased word, which SQL has, too."""
+    digest = hashlib.md5(word.lower().encode(), usedforsecurity=False).digest()
+    return int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:], "big")
+
+
 class Words(dict):
     """Numbers words; for each number the two hashes of the lower-cased word, and whether a sentence ends after it."""
 
@@ -58,9 +64,9 @@ class Words(dict):
         self.first, self.second, self.last = array("Q"), array("Q"), array("b")
 
     def __missing__(self, word: str) -> int:
-        lowered = word.lower().encode()
-        self.first.append(xxhash.xxh3_64_intdigest(lowered, 1))
-        self.second.append(xxhash.xxh3_64_intdigest(lowered, 2))
+        first, second = word_hashes(word)
+        self.first.append(first)
+        self.second.append(second)
         self.last.append(LAST.search(word) is not None)
         got = self[word] = len(self)
         return got
