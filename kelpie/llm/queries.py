@@ -11,6 +11,8 @@ from kelpie.llm import chat, decontaminate, html_text, language_model, packing,
 from kelpie.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
+#: White space as Python's texts know it, inside a class of SQL's patterns.
+SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+#: What the made pages hold between their article's tags: blocks by p and h1, and these character references.
+OP1_SQL = r"""
+WITH b AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '</?(?:p|h1)>') AS blocks FROM pages
+), d AS (
+  SELECT page_id, url, list_transform(blocks, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'),
+    '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) AS blocks FROM b
+), c AS (
+  SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(x, '[@]+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM d
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, length(array_to_string(blocks, chr(10)))::BIGINT AS n_chars FROM c
+""".replace("@", SPACE)
+
 #: Every diagonal on which a document and an item share a token, and its best stretch: no seeds, no candidates.
 OP3_SQL = r"""
 WITH d AS (
@@ -149,7 +164,7 @@ SELECT any_value(doc_id) AS doc_id, count(DISTINCT CASE WHEN gone THEN piece END
   (SELECT string_agg(place, ',' ORDER BY i) FROM r WHERE r.k = b.k) AS removed,
   (CASE WHEN bool_or(gone AND i = 1) THEN '' ELSE any_value(blank) END) || coalesce(string_agg(part, '' ORDER BY i) FILTER (NOT gone), '') AS text
 FROM b GROUP BY k HAVING bool_or(gone)
-""".replace("@", r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+""".replace("@", SPACE)
 
 OP6_SQL = rf"""
 WITH rows AS (
@@ -216,4 +231,4 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM v
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op5_substrings": OP5_SQL, "op6_chat": OP6_SQL, "op8_quality": OP8_SQL, "op10_warc": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_html_text": OP1_SQL, "op3_decontaminate": OP3_SQL, "op5_substrings": OP5_SQL, "op6_chat": OP6_SQL, "op8_quality": OP8_SQL, "op10_warc": OP10_SQL}
