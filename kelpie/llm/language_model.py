@@ -336,23 +336,8 @@ class Trie:
                 below = np.add.reduceat(np.where(there, nodes[k - 1][1][at], 0), first)
             self.contexts.append((ctx[first], total, symbols, below))
 
-    @cached_property
-    def table(self) -> Table:
-        keys, counts = self.nodes[ORDER]
-        ctxs, total, *_ = self.contexts[ORDER]
-        at, _ = found(ctxs, keys >> 8)
-        return Table(keys, np.log10((2 * counts - 1) / (2 * total[at])) if len(keys) else np.zeros(0))
-
-    def logs(self, g: np.ndarray) -> np.ndarray:
-        """log10 P(symbol | context) of each gram."""
-        out, missing = self.table.lookup(g)
-        if len(missing):
-            distinct, back = np.unique(g[missing], return_inverse=True)
-            out[missing] = self.escape(distinct)[back]
-        return out
-
     def escape(self, g: np.ndarray) -> np.ndarray:
-        """The same by walking down the orders, with exclusion."""
+        """log10 P(symbol | context) of each gram, by walking down the orders, with exclusion."""
         out, excluded, symbols_gone = np.zeros(len(g)), np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
         live = np.arange(len(g))
         for k in range(ORDER, -1, -1):
@@ -372,15 +357,6 @@ class Trie:
         out[live] += np.log10(1 / (256 - symbols_gone[live]))
         return out
 
-    def scores(self, bodies: list[bytes]) -> np.ndarray:
-        total = np.zeros(len(bodies))
-        for buffer, owners, starts in pieces(iter(enumerate(bodies))):
-            logs = self.logs(grams(buffer))
-            logs[~valid(buffer, starts)] = 0
-            # a part's grams begin at its context's offset
-            np.add.at(total, owners, np.add.reduceat(logs, starts))
-        return total
-
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(False))

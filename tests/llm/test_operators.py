@@ -622,21 +622,21 @@ def test_ppm_is_a_distribution():
     trie = language_model.Trie(nodes)
     for ctx in (b"aabcab", b"zzzzzz", b"zzzzza", b"\n" * 6, bodies[0][3:9]):
         all_ = np.array([int.from_bytes(ctx + bytes([s]), "big") for s in range(256)])
-        assert (10 ** trie.logs(all_)).sum() == pytest.approx(1, abs=1e-6)
-        assert trie.logs(all_) == pytest.approx([plain_ppm(nodes, int(x)) for x in all_], abs=1e-5)
-
-
-def test_scores_of_parts():
-    """A text longer than a piece is scored as if it were one."""
-    body = bytes(R.choice(b"abc de") for _ in range(5000))
-    g = language_model.grams(language_model.PAD + body + language_model.END)
-    trie = language_model.Trie([np.unique(g & language_model.mask(k), return_counts=True) for k in range(language_model.ORDER + 1)])
-    whole = trie.logs(g).sum()
-    size, language_model.PIECE = language_model.PIECE, 700
-    try:
-        assert trie.scores([b"abc", body, b""])[1] == pytest.approx(whole)
-    finally:
-        language_model.PIECE = size
+        assert (10 ** trie.escape(all_)).sum() == pytest.approx(1, abs=1e-6)
+        assert trie.escape(all_) == pytest.approx([plain_ppm(nodes, int(x)) for x in all_], abs=1e-5)
+
+
+def test_grams_of_parts(monkeypatch):
+    """A text longer than a piece has the grams of the whole, each once, and texts beside it keep theirs."""
+    monkeypatch.setattr(language_model, "PIECE", 700)
+    bodies = [b"abc", bytes(R.choice(b"abc de") for _ in range(5000)), b""]
+    whole = [language_model.grams(language_model.PAD + b + language_model.END) for b in bodies]
+    found = [[], [], []]
+    for buffer, owners, starts in language_model.pieces(iter(enumerate(bodies))):
+        g, ok = language_model.grams(buffer), language_model.valid(buffer, starts)
+        for owner, begin, end in zip(owners, starts, [*starts[1:], len(g)], strict=True):
+            found[owner] += g[begin:end][ok[begin:end]].tolist()
+    assert found == [w.tolist() for w in whole]
 
 
 # 8
