@@ -251,8 +251,7 @@ def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def budgeted_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dom_rows = dom.extract_dom(table(spark, sf_dir, "pages")).where("kind = 'link'")
-    return crawling.budgeted(dom_rows.select("page_url", "ordinal", "href"), 3, "page_url").select("page_url", "href", "place")
+    return crawling.budgeted(table(spark, sf_dir, "pages"), 3).select("page_url", "href", "place")
 
 
 def linked_site(spark: SparkSession) -> DataFrame:

@@ -34,6 +34,12 @@ def test_crawl_follows_levels_and_stays_on_the_host(spark):
     assert got.scripts.count() == 5
 
 
+def test_budget_of_pages_that_share_a_url(spark):
+    rows = [(S, "<script>1</script>" + "".join(f'<a href="{k}{x}">l</a>' for x in "abcd")) for k in (1, 2)] + [(S + "x", '<a href="y">l</a>'), (S, None)]
+    got = c.budgeted(spark.createDataFrame(rows, "url string, html string"), 3).select("page_url", "href", "place").collect()
+    assert sorted(map(tuple, got)) == [(S, f"{k}{x}", at) for k in (1, 2) for at, x in enumerate("abc", 1)] + [(S + "x", "y", 1)]
+
+
 def test_single_link_pages_skip_whitelist_and_budget(spark):
     site = {S: ["https://other.com/"], "https://other.com/": []}
     assert walk(spark, site)[0] == {"": 0, "https://other.com/": 1}
