@@ -1,10 +1,9 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes its own example: all turns before it are its context and only its reply is
-trainable. Written out in full, the examples of a conversation of n turns take n**2 turns; here they share one
-transcript. A turn is formatted once, with its offset in its conversation's transcript, and an example is
-(context_chars, target): its context is the first context_chars characters of the transcript. render() writes
-the contexts out where that size is wanted. Turns after the last reply are in the transcript and in no target.
+Every assistant turn becomes its own example: all turns before it are its context, written out, and only its reply
+is trainable. The examples of a conversation of n turns take n**2 turns. A turn is formatted once, with its offset in
+its conversation's transcript; a conversation is gathered and expanded within a task, so the examples cross no
+shuffle. Turns after the last reply are in the transcript and in no example.
 
     <|im_start|>role LF text <|im_end|> LF
 
@@ -13,9 +12,9 @@ role may hold neither "<|" nor a line feed after escaping. DataFrame functions o
 
 Defined results: null texts and roles are empty; turns are ordered by (turn, role, text), null turns first, so
 ties and repeated rows keep one order; conversations without a reply give no example; a null conv_id is a
-conversation of its own; an empty table gives no turns. A very long text is one turn; a very long conversation is read
-turn by turn up to its examples, and gathered into one row only where its transcript is asked for (transcripts, render,
-digest), which has to fit a task. Only conv_id, turn, role and text are read, so other columns cannot clash.
+conversation of its own; an empty table gives no turns. A very long text is one turn; a very long conversation is
+formatted turn by turn and gathered into one row for its examples, which has to fit a task; of the examples one at a time
+is in memory. Only conv_id, turn, role and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -72,34 +71,42 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return formatted.withColumns({"ordinal": F.row_number().over(order), "start": F.coalesce(before, F.lit(0).cast("long"))}).drop("role", "text")
 
 
-def expand(turns: DataFrame, with_turns: bool = False) -> DataFrame:
-    """One row per reply: conv_id, example, context_chars, target, loss_start, loss_chars.
+def gathered(turns: DataFrame) -> DataFrame:
+    """conv_id, turns, transcript: a conversation's formatted turns in order, and their segments as one text."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "segment", "start", "loss_start", "loss_chars", "trainable")))
+    whole = turns.groupBy("conv_id").agg(ordered.alias("turns"))
+    return whole.withColumn("transcript", F.array_join(F.transform("turns", lambda s: s["segment"]), ""))
 
-    The example's text is the transcript's first context_chars characters followed by target; the loss mask
-    covers loss_chars characters of target from loss_start. With with_turns, the turns are rows, too, in the columns
-    ordinal and segment, which examples have null, and the other way round.
+
+def expand(turns: DataFrame, with_whole: bool = False) -> DataFrame:
+    """One row per reply: conv_id, example, context_chars, context, target, loss_start, loss_chars.
+
+    The example's text is context followed by target; the loss mask covers loss_chars characters of target from
+    loss_start. With with_whole, each conversation has one row more, without example and target, whose context is its
+    whole transcript. Size: replies x transcript.
     """
-    own = ("ordinal", "segment")
-    example = {"example": F.col("ordinal"), "context_chars": F.col("start"), "target": F.col("segment"), "loss_start": F.col("loss_start"), "loss_chars": F.col("loss_chars")}
-    none = lambda c, k: F.when(F.lit(False), c).alias(k)
-    as_turn = F.struct(*[F.col(c) for c in own], *[none(c, k) for k, c in example.items()])
-    as_example = F.struct(*[none(F.col(c), c) for c in own], *[c.alias(k) for k, c in example.items()])
-    rows = F.array_compact(F.array(as_turn if with_turns else F.when(F.lit(False), as_turn), F.when(F.col("trainable"), as_example)))
-    out = turns.select("conv_id", F.explode(rows).alias("row")).select("conv_id", "row.*")
-    return out if with_turns else out.drop(*own)
+    example = lambda s: F.struct(s["ordinal"].alias("example"), s["start"].alias("context_chars"), s["segment"].alias("target"), s["loss_start"].alias("loss_start"), s["loss_chars"].alias("loss_chars"))
+    rows = F.transform(F.filter("turns", lambda s: s["trainable"]), example)
+    if with_whole:
+        none = lambda k, t: F.lit(None).cast(t).alias(k)
+        end = F.struct(none("example", "int"), F.length("transcript").cast("long").alias("context_chars"), none("target", "string"), none("loss_start", "int"), none("loss_chars", "int"))
+        rows = F.concat(rows, F.array(end))
+    out = gathered(turns).select("conv_id", "transcript", F.explode(rows).alias("row")).select("conv_id", "transcript", "row.*")
+    return out.select("conv_id", "example", "context_chars", upto("transcript", "context_chars").alias("context"), "target", "loss_start", "loss_chars")
+
+
+def upto(text: str, n: str) -> Column:
+    return F.substring(F.col(text), F.lit(1), F.col(n).cast("int"))
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
     """conv_id, transcript: the segments of a conversation in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "segment")))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda s: s["segment"]), "").alias("transcript"))
+    return gathered(turns).select("conv_id", "transcript")
 
 
 def render(turns: DataFrame) -> DataFrame:
-    """Examples written out: conv_id, example, context, target, loss_start, loss_chars. Size: replies x transcript."""
-    return expand(turns).alias("e").join(transcripts(turns).alias("t"), F.col("e.conv_id").eqNullSafe(F.col("t.conv_id"))).select(
-        "e.conv_id", "example", F.expr("substring(transcript, 1, int(context_chars))").alias("context"), "target", "loss_start", "loss_chars"
-    )
+    """The examples' texts: conv_id, example, context, target, loss_start, loss_chars."""
+    return expand(turns).drop("context_chars")
 
 
 def parse(segment: Column) -> tuple[Column, Column]:
@@ -109,37 +116,43 @@ def parse(segment: Column) -> tuple[Column, Column]:
     return unescape_role(role), unescape(text)
 
 
+def starts(text: Column) -> Column:
+    """The formatted turns of a text: escaped texts and roles hold no START."""
+    return F.transform(F.filter(F.split(text, r"<\|im_start\|>", -1), lambda s: s != ""), lambda s: F.concat(F.lit(START), s))
+
+
 def digest(turns: DataFrame) -> DataFrame:
-    """What the formatted output holds, read back from it: turns from the segments, replies from the examples' targets under the mask.
+    """What the formatted output holds, read back from it: turns from the transcript, replies from the examples' texts under the mask.
 
-    formatted_chars is the size of the transcript, which the examples share. Each example has to stand in it where
-    its context ends; one that does not, or that has no turn, is an error.
+    formatted_chars is the size of the transcript. Each example's context has to be the transcript up to its target, by
+    digest, its target what follows there, its number that of the turns before it and one, and each reply has to have
+    its example; anything else is an error.
     """
-    rows = expand(turns, with_turns=True)
-    role, text = parse(F.col("segment"))
-    turn_row = F.when(F.col("segment").isNotNull(), F.struct("ordinal", "segment", F.concat(role, F.lit("\n"), text, F.lit("\n")).alias("turn_text")))
-    example_row = F.when(F.col("segment").isNull(), F.struct("example", "context_chars", "target", "loss_start", "loss_chars"))
-    met = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn_row)).alias("rows"), F.array_sort(F.collect_list(example_row)).alias("examples"))
-    # along the transcript: its length so far, the examples met, and whether all of them were where they should be
-    walk = F.expr(
-        """aggregate(rows, named_struct('chars', 0L, 'met', 0, 'right', true), (acc, r) -> CASE WHEN get(examples, acc.met).example <=> r.ordinal
-             THEN named_struct('chars', acc.chars + length(r.segment), 'met', acc.met + 1, 'right', acc.right AND get(examples, acc.met).context_chars = acc.chars AND get(examples, acc.met).target = r.segment)
-             ELSE named_struct('chars', acc.chars + length(r.segment), 'met', acc.met, 'right', acc.right) END)"""
+    rows = expand(turns, with_whole=True)
+    said_under_mask = F.substring(F.concat("context", "target"), F.length("context") + F.col("loss_start") + 1, F.col("loss_chars"))
+    example = F.struct(
+        "example", "context_chars", F.sha2(F.col("context").cast("binary"), 256).alias("context_sha256"), (F.size(starts(F.col("context"))) + 1).alias("place"), "target", unescape(said_under_mask).alias("reply")
+    )
+    met = rows.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), example))).alias("examples"), F.first(F.when(F.col("example").isNull(), F.col("context")), ignorenulls=True).alias("transcript")
+    )
+    read = met.withColumn("turns", F.transform(starts(F.col("transcript")), lambda s: F.struct(*(c.alias(k) for k, c in zip(("role", "text"), parse(s), strict=True)))))
+    stands = F.expr(
+        """forall(examples, e -> e.example = e.place AND e.context_sha256 = sha2(cast(substring(transcript, 1, int(e.context_chars)) AS binary), 256)
+             AND e.target = substring(transcript, int(e.context_chars) + 1, length(e.target)))"""
     )
-    walked = met.withColumn("walk", walk)
-    placed = F.col("walk.right") & (F.col("walk.met") == F.size("examples"))
-    masked = F.transform("examples", lambda e: unescape(F.substring(e["target"], e["loss_start"] + 1, e["loss_chars"])))
-    said = F.array_join(F.transform("rows", lambda r: r["turn_text"]), "")
-    joined = walked.select(
+    whole = F.size("examples") == F.size(F.filter("turns", lambda t: t["role"] == "assistant"))
+    replies = F.array_join(F.transform("examples", lambda e: e["reply"]), "")
+    joined = read.select(
         "conv_id",
-        "rows",
-        said.alias("said"),
-        F.when(placed, F.array_join(masked, "")).otherwise(F.raise_error(F.lit("an example does not stand where its context ends"))).alias("replies"),
-        F.col("walk.chars").alias("formatted_chars"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
+        F.when(stands & whole, replies).otherwise(F.raise_error(F.lit("an example does not stand where its context ends"))).alias("replies"),
+        F.length("transcript").cast("long").alias("formatted_chars"),
     )
     return joined.select(
         "conv_id",
-        F.size("rows").cast("long").alias("n_turns"),
+        "n_turns",
         F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
         F.length("replies").cast("long").alias("loss_chars"),
         F.sha2(F.col("replies").cast("binary"), 256).alias("loss_sha256"),

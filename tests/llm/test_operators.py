@@ -523,6 +523,18 @@ def test_faults_of_the_expansion_show(spark, monkeypatch):
     assert {r.loss_chars for r in chat.digest(turns).collect()} == {0}
 
 
+def test_examples_hold_their_prefix_and_the_digest_reads_it(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d")], "conv_id long, turn long, role string, text string")
+    turns, whole = chat.format_turns(df), chat.expand
+    formatted = [f"<|im_start|>{role}\n{x}<|im_end|>\n" for role, x in (("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d"))]
+    assert sorted((r.example, r.context, r.target) for r in whole(turns).collect()) == [(2, formatted[0], formatted[1]), (4, "".join(formatted[:3]), formatted[3])]
+    broken = F.when(F.col("example") == 4, F.replace("context", F.lit("a"), F.lit("x"))).otherwise(F.col("context"))
+    for change in (lambda e: e.withColumn("context", broken), lambda e: e.where("example is null or example <> 2")):
+        monkeypatch.setattr(chat, "expand", lambda t, c=change, **k: c(whole(t, **k)))
+        with pytest.raises(Exception, match="does not stand where its context ends"):
+            chat.digest(turns).collect()
+
+
 # 7
 
 
