@@ -199,11 +199,17 @@ def as_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Tables of the search for similar texts, and min-hashes that must agree in one of them: of pairs at a Jaccard
-#: similarity of 0.8 a share of (1 - 0.8**5)**20 = 0.0004 meets in no table.
-BANDS, ROWS = 20, 5
+#: The search for similar texts: fingerprints of WORDS x 64 bits over the distinct shingles, in them SEARCHED parts of
+#: PART bits, PARTS to a word, and for each part the masks that cover RADIUS. Pairs within SEARCHED * (RADIUS + 1) - 1 = 27
+#: of these 140 bits meet with certainty, others by chance: of pairs at a Jaccard similarity of 0.8, which differ in some
+#: 21, a share of 0.00005 does not meet (simulated for over 30 shingles; 0.001 for 4 shingles against 5).
+WORDS, PARTS, SEARCHED, PART, RADIUS = 3, 3, 7, 20, 3
+COVER = masks(RADIUS, PART)
+#: Differing bits of linked fingerprints: at a similarity of 0.8 they are 29 of 192 with a deviation of 5, of unrelated
+#: texts 96 with a deviation of 7.
+NEAR = 54
 #: Constants that make further hashes of one: odd multipliers.
-MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) + 0x632BE59BD9B4E019 * k) % (1 << 64) | 1 for k in range(1, BANDS * ROWS + 1)], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(1, WORDS)], np.uint64)
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -221,16 +227,92 @@ def set_key(own: np.ndarray) -> tuple[int, int]:
     return signed(h >> 64), signed(h & (1 << 64) - 1)
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A hash of ROWS min-hashes for each of the BANDS tables."""
-    least = np.full(len(MIX), np.iinfo(np.uint64).max)
-    for at in range(0, len(own), STEP >> 3):
-        h = own[None, at : at + (STEP >> 3)] * MIX[:, None]
+def wide_fingerprint(own: np.ndarray) -> list[int]:
+    """The WORDS signed words of a set's fingerprint: SimHash of the hashes, and of further hashes made of them."""
+    ones = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(own), STEP):
+        h = own[None, at : at + STEP] * MIX[:, None]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
-        least = np.minimum(least, h.min(1))
-    return [signed(xxhash.xxh64_intdigest(row.tobytes(), SEED)) for row in least.reshape(BANDS, ROWS)]
+        for k, x in enumerate((own[at : at + STEP], *h)):
+            ones[k] += np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+def near_in_buckets(bucket: np.ndarray, fp: np.ndarray, most: int) -> np.ndarray:
+    """For each place the least place it is connected to by pairs that share a bucket and differ in at most most bits.
+
+    Buckets are runs.
+    """
+    up = np.arange(len(bucket))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return int(x)
+
+    left, step = np.arange(len(bucket)), 0
+    while True:
+        step += 1
+        left = left[left < len(bucket) - step]
+        left = left[bucket[left] == bucket[left + step]]
+        near = left[sum(np.bitwise_count(x[left] ^ x[left + step]).astype(np.int16) for x in fp) <= most]
+        if len(near):
+            near = near[up[near] != up[near + step]]
+            for i in near.tolist():
+                a, b = root(i), root(i + step)
+                up[max(a, b)] = min(a, b)
+            while len(near) and (up != up[up]).any():
+                up = up[up]
+        if not len(left):
+            return up
+
+
+def wide_links(nodes: DataFrame, least: int = 1 << 16) -> DataFrame:
+    """Edges (u, v), u < v, that connect the same nodes as all pairs that meet in a table and differ in at most NEAR bits.
+
+    nodes: node, f0, f1, ... A table's buckets are read as runs of sorted rows, some least rows at a time; a bucket's
+    fingerprints have to fit a task, their pairs have not.
+    """
+    words = [f"f{k}" for k in range(WORDS)]
+    masked = lambda part: F.transform(F.array(*[F.lit(m) for m in COVER]), lambda m: part.bitwiseAND(m.cast("long")))
+    keys = F.concat(*[masked(F.shiftrightunsigned(F.col(words[k // PARTS]), k % PARTS * PART)) for k in range(SEARCHED)])
+    spread = nodes.select("node", *words, F.posexplode(keys).alias("t", "key")).select((F.col("t").cast("long") * (1 << PART) + F.col("key")).alias("bucket"), "node", *words)
+
+    def edges(rows: pa.Table) -> pa.RecordBatch:
+        bucket, node = rows["bucket"].to_numpy(), rows["node"].to_numpy()
+        group = near_in_buckets(bucket, np.stack([rows[f].to_numpy().view(np.uint64) for f in words]), NEAR)
+        # the least node of a group is mostly the same in all tables, and so are the edges
+        least_node = node.copy()
+        np.minimum.at(least_node, group, node)
+        u = least_node[group]
+        return pa.RecordBatch.from_arrays([pa.array(u[u != node]), pa.array(node[u != node])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, wanted = 0, least
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < wanted:
+                continue
+            rows = pa.Table.from_batches(held)
+            bucket = rows["bucket"].to_numpy()
+            last = int(np.searchsorted(bucket, bucket[-1]))
+            if last:
+                yield edges(rows.slice(0, last))
+            # the last run may go on; a long one is not joined again with every batch
+            held, n = rows.slice(last).to_batches(), n - last
+            wanted = max(least, 2 * n)
+        if n:
+            yield edges(pa.Table.from_batches(held))
+
+    found = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+    return found.distinct()
 
 
 def alike(sets: list[np.ndarray], block: list[int], node: list[int], similarity: float) -> Iterator[tuple[int, int]]:
@@ -261,17 +343,18 @@ def alike(sets: list[np.ndarray], block: list[int], node: list[int], similarity:
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = 256, most: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) by Jaccard similarity of word shingles.
 
-    A pair at a similarity of 0.8 over five-word shingles differs in some ten bits of their SimHash, far beyond a
-    radius that tables can cover. Candidates are the pairs that agree in the min-hashes of one of BANDS tables; the
-    shingles themselves decide each. Buckets with the same members are one, and only members of shared buckets have
-    their shingles moved, in blocks of about `block` texts and `most` shingles at most.
+    A pair at a similarity of 0.8 over five-word shingles differs in some ten bits of a 64-bit SimHash, far beyond a
+    radius that tables can cover. So fingerprints are of WORDS words, and the radius is covered in each of their parts.
+    Fingerprints that meet in a table and are near are linked; the components of these links are the candidates, and
+    the shingles themselves decide every pair in one. Only members of components have their shingles moved, in blocks
+    of about `block` texts and `most` shingles at most.
     """
     source = docs.select(integer_id(docs, id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
 
     def profile(batch: dict) -> Iterator[tuple]:
         for i, text in zip(batch["doc_id"], batch["text"], strict=True):
             own = shingles(text, shingle)
-            yield i, *set_key(own), len(own), bands(own)
+            yield i, *set_key(own), len(own), *wide_fingerprint(own)
 
     def read(batch: dict) -> Iterator[tuple]:
         for text in batch["text"]:
@@ -279,16 +362,17 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: i
             yield *set_key(own), own.view(np.int64)
 
     same = ["h1", "h2"]
-    profiles = cut(map_rows(source, "doc_id long, h1 long, h2 long, size int, bands array<long>", profile))
-    nodes = cut(profiles.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    spread = nodes.where("node is not null").select(*same, "node", "size", F.posexplode("bands").alias("t", "key"))
-    buckets = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64(*same)).alias("x"), F.bit_xor(F.xxhash64("h2", "h1", F.lit(1))).alias("y")).where("c > 1")
-    # the tables in which a pair meets mostly hold the same members: one of these buckets is enough
-    distinct = buckets.groupBy("c", "x", "y").agg(F.min(F.struct("t", "key", "total")).alias("b")).select("b.t", "b.key", F.ceil(F.greatest(F.col("c") / block, F.col("b.total") / most)).cast("int").alias("nb"))
-    members = cut(in_blocks(spread.join(distinct, ["t", "key"]), *same).select("t", "key", *same, "node", "nb", "own"))
+    words = [f"f{k}" for k in range(WORDS)]
+    profiles = cut(map_rows(source, "doc_id long, h1 long, h2 long, size int, " + ", ".join(f"{f} long" for f in words), profile))
+    nodes = cut(profiles.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", *words)]))
+    # texts without words are one node, and similar to nothing else
+    near = components(wide_links(nodes.where("node is not null and size > 0").select("node", *words)))
+    linked_up = cut(nodes.select("node", *same, "size").join(near, "node"))
+    blocks = linked_up.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / most)).cast("int").alias("nb"))
+    members = cut(in_blocks(linked_up.join(blocks, "component"), *same).select(F.col("component").alias("key"), *same, "node", "nb", "own"))
     wanted = cut(members.select(F.col("node").alias("doc_id")).distinct())
     sets = map_rows(source.join(sized(wanted, 1 << 26), "doc_id", "left_semi"), "h1 long, h2 long, shingles array<long>", read, 256).dropDuplicates(same)
-    groups = with_block_pairs(members).join(sets, same).groupBy("t", "key", "p").agg(F.collect_list(F.struct("own", "node", "shingles")).alias("m")).where(F.size("m") > 1)
+    groups = with_block_pairs(members).join(sets, same).groupBy("key", "p").agg(F.collect_list(F.struct("own", "node", "shingles")).alias("m")).where(F.size("m") > 1)
 
     def decide(members: pa.StructArray) -> Iterator[tuple[int, int]]:
         own = [x.values.to_numpy(zero_copy_only=False) for x in members.field("shingles")]

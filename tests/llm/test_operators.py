@@ -338,6 +338,30 @@ def test_similar_pairs_at_the_threshold(spark, block):
     assert {r.doc_id: r.component_id for r in simhash.similar(df, block=block).collect()} == expected and len(near) > 60
 
 
+def test_similar_texts_meet_under_covering_masks(spark):
+    """Fingerprints within the radius in one part are linked, and far ones are not; the rows of similar() come from these links."""
+    base = [R.getrandbits(64) for _ in range(simhash.WORDS)]
+    flip = lambda x, at: x ^ sum(1 << b for b in at)
+    parts = range(0, 60, simhash.PART)
+    # as many bits as are sure to meet: RADIUS in one part, one more in all others, none of it in the bits that are not searched
+    sure = [flip(w, [p + b for p in parts for b in range(simhash.RADIUS + (1 if (k, p) != (0, 0) else 0))]) if k < 2 else flip(w, range(simhash.RADIUS + 1)) for k, w in enumerate(base)]
+    far = [R.getrandbits(64) for _ in base]
+    df = spark.createDataFrame([(k, *map(simhash.signed, x)) for k, x in enumerate((base, far, sure))], "node long, f0 long, f1 long, f2 long")
+    assert [tuple(r) for r in simhash.wide_links(df).collect()] == [(0, 2)]
+    own = np.sort(np.array([R.getrandbits(64) for _ in range(301)], np.uint64))
+    assert simhash.wide_fingerprint(own)[0] == simhash.signed(sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in own) > len(own)))
+
+
+@pytest.mark.parametrize("least", [1 << 16, 7])
+def test_wide_links_of_large_buckets(spark, least):
+    some = [[R.getrandbits(64) for _ in range(simhash.WORDS)] for _ in range(4)]
+    nodes = [[w ^ (1 << R.randrange(64)) for w in R.choice(some)] for _ in range(200)]
+    df = spark.createDataFrame([(k, *map(simhash.signed, x)) for k, x in enumerate(nodes)], "node long, f0 long, f1 long, f2 long")
+    near = [(i, j) for i, x in enumerate(nodes) for j, y in enumerate(nodes) if i < j and sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True)) <= simhash.NEAR]
+    found = {r.node: r.component for r in simhash.components(simhash.wide_links(df, least)).collect()}
+    assert found == components_of(range(200), near)
+
+
 def test_hubs_of_components(spark):
     """Nodes with very many links are looked up in a broadcast; the result is the same."""
     pairs = [(0, k) for k in range(1, 900)] + [(5000, k) for k in range(600, 1500)] + [(k, k + 1) for k in range(2000, 2050)] + [(2050, 1499)]
