@@ -9,7 +9,8 @@ the pair is equal. So each pair within the radius meets in one of the 2**(r+1) -
 Scale: fingerprints are collapsed first, so exact copies are one row in the search. A bucket of more than `block`
 fingerprints is split into blocks, and each pair of blocks is a group of its own: every pair is still compared,
 by bit counts over at most two blocks, and no task holds a larger group. A group gives a spanning forest of its
-links, never all pairs. Components come from alternating large and small stars over edges only.
+links, never all pairs. Components come from edges only: up to AT_ONCE of them are grouped in one task, more by
+alternating large and small stars.
 
 Defined results: null or empty texts have fingerprint 0 and are linked like any other (similar() links texts without
 words to each other only); very long texts are read whole; repeated rows and ties give a row each; a row with a null
@@ -31,6 +32,8 @@ from kelpie.llm.common import cut, integer_id, map_rows, sized, text_or_empty
 
 SEED = 42
 STEP = 1 << 15
+#: Edges that one task groups: 16 MB of node ids. Below that, rounds of shuffles would be tasks without rows for the most part.
+AT_ONCE = 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -158,14 +161,56 @@ def with_least(rows: DataFrame, key: str, value: str, n_rows: int) -> DataFrame:
     return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(least.where(F.col("c") < many).drop("c"), key))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node with an edge: component is the smallest node it can reach.
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges, and for each the least node that the edges connect it to."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = up[a], up[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[up]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up != up[up]).any():
+            up = up[up]
+
+
+def grouped(edges: DataFrame, at_once: int) -> DataFrame:
+    """(node, component): each partition's edges, at_once at a time, as the groups that they connect by themselves."""
+
+    def group(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        nodes, least = least_reached(rows["u"].to_numpy(), rows["v"].to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], ["node", "component"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= at_once:
+                yield group(held)
+                held, n = [], 0
+        if n:
+            yield group(held)
+
+    return edges.select("u", "v").mapInArrow(run, "node long, component long")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, at_once: int = AT_ONCE) -> DataFrame:
+    """(node, component) for every node with an edge: component is the smallest node it can reach. A computed (cut) table.
 
-    Alternating large and small stars; each round is cut by a reliable checkpoint, and the driver sees one row
+    What a task has of the edges is reduced to its groups first. Up to at_once edges are then grouped in one task;
+    more by alternating large and small stars: each round is cut by a reliable checkpoint, and the driver sees one row
     of counts. Partial minima are taken before every shuffle.
     """
-    edges = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    own = grouped(edges.where("u <> v"), max(1, at_once)).where("component < node")
+    edges = cut(own.select(F.col("component").alias("u"), F.col("node").alias("v")))
     state, n = None, edges.count()
+    if n <= at_once:
+        return cut(grouped(edges.coalesce(1), max(1, at_once)))
+    edges = cut(edges.distinct())
     for _ in range(max_rounds):
         # large star: every neighbour above a node is hung on the least of its neighbourhood
         both = edges.union(edges.select("v", "u"))
@@ -176,7 +221,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = cut(small)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003), F.countDistinct("v")).first()
         if seen == state or seen[0] == 0 or (seen[0] == seen[2] and edges.alias("a").join(edges.alias("b"), F.col("a.v") == F.col("b.u"), "left_semi").isEmpty()):
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+            return cut(edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()))
         state, n = seen, seen[0]
     raise RuntimeError("the components did not settle")
 
@@ -367,10 +412,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: i
     nodes = cut(profiles.groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("size", *words)]))
     # texts without words are one node, and similar to nothing else
     near = components(wide_links(nodes.where("node is not null and size > 0").select("node", *words)))
-    linked_up = cut(nodes.select("node", *same, "size").join(near, "node"))
+    linked_up = cut(nodes.select("node", *same, "size").join(sized(near, 1 << 26), "node"))
     blocks = linked_up.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / most)).cast("int").alias("nb"))
-    members = cut(in_blocks(linked_up.join(blocks, "component"), *same).select(F.col("component").alias("key"), *same, "node", "nb", "own"))
-    wanted = cut(members.select(F.col("node").alias("doc_id")).distinct())
+    several = linked_up.join(sized(cut(blocks.where("nb > 1")), 1 << 26), "component", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    members = in_blocks(several, *same).select(F.col("component").alias("key"), *same, "node", "nb", "own")
+    wanted = linked_up.select(F.col("node").alias("doc_id"))
     sets = map_rows(source.join(sized(wanted, 1 << 26), "doc_id", "left_semi"), "h1 long, h2 long, shingles array<long>", read, 256).dropDuplicates(same)
     groups = with_block_pairs(members).join(sets, same).groupBy("key", "p").agg(F.collect_list(F.struct("own", "node", "shingles")).alias("m")).where(F.size("m") > 1)
 
@@ -378,9 +424,9 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: i
         own = [x.values.to_numpy(zero_copy_only=False) for x in members.field("shingles")]
         return alike(own, members.field("own").to_pylist(), members.field("node").to_pylist(), similarity)
 
-    found = components(linked(groups, decide).where("u < v").distinct())
-    known = nodes.join(found, "node", "left").where("n > 1 or component is not null").select(*same, F.coalesce("component", "node").alias("component_id"))
-    return profiles.select("doc_id", *same).join(known, same, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = components(linked(groups, decide).where("u < v"))
+    known = cut(nodes.join(sized(found, 1 << 26), "node", "left").where("n > 1 or component is not null").select(*same, F.coalesce("component", "node").alias("component_id")))
+    return profiles.select("doc_id", *same).join(sized(known, 1 << 26), same, "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,6 +435,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col:
     Of rows that repeat that id all stay. Rows without an id stay.
     """
     found = similar(docs, shingle, similarity, id_col=id_col, text_col=text_col)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = cut(found.where("doc_id <> component_id").select("doc_id"))
     keyed = docs.select(F.struct("*").alias("doc"), integer_id(docs, id_col).alias("doc_id"))
     return keyed.join(sized(gone, 1 << 26), "doc_id", "left_anti").select("doc.*")

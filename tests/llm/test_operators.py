@@ -372,6 +372,37 @@ def test_hubs_of_components(spark):
     assert {(r.u, r.v, r.m) for r in simhash.with_least(rows, "u", "v", 1000).collect()} == {(k % 3 if k < 900 else k, k, k % 3 if k < 900 else k) for k in range(1000)}
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 12, 0])
+def test_components_in_one_task_or_by_stars(spark, at_once):
+    """Few edges are grouped in one task, and many by stars after each task has grouped its own: the result is the same."""
+    ids = R.sample(range(-(10**12), 10**12), 400)
+    pairs = [tuple(R.sample(ids[:300], 2)) for _ in range(220)] + [(ids[300], x) for x in ids[300:]] + [(ids[5], None)]
+    got = [tuple(r) for r in simhash.components(spark.createDataFrame(pairs * 2, "u long, v long").repartition(7), at_once=at_once).collect()]
+    near = [p for p in pairs if None not in p and p[0] != p[1]]
+    touched = {x for p in near for x in p}
+    assert len(got) == len(touched) and dict(got) == components_of(touched, near)
+
+
+def test_few_links_take_few_tasks(spark):
+    """Shuffles of a small search do not multiply with the partitions: each leaves files and log entries for every one."""
+    docs = [(k, text(40)) for k in range(30)]
+    df = spark.createDataFrame(docs + [(100 + k, docs[k][1] + " changed") for k in range(10)], "doc_id long, text string")
+    sc, wide = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few links", "")
+        assert simhash.keep_one(df).count() == 30
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few links")]
+        stages = [sc.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+        assert 0 < sum(s.numCompletedTasks for s in stages if s) < 1500
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_ids_have_to_be_integers(spark):
     df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
     with pytest.raises(TypeError, match="integer"):
